@@ -343,8 +343,8 @@ ORACLES = {
         from embeddings, range(1, 65) t(i) group by label, i),
       asked as (select label, list(m order by i) as q from means group by label),
       scored as (
-        select label, vec_id, list_cosine_similarity(cast(embedding as double[]), q) as score
-        from embeddings, (select label as asked_label, q from asked) a(label, q)),
+        select a.label, vec_id, list_cosine_similarity(cast(embedding as double[]), q) as score
+        from embeddings, asked a),
       ranked as (
         select *, row_number() over (partition by label order by score desc, vec_id) as rank from scored)
       select cast(label as bigint) as query_id, rank, vec_id, round(score, 6) as score

@@ -319,7 +319,7 @@ def parse_responses(spark, sf):
 
 def verify_merge(spark, sf):
     log = extract.explode_records(extract.with_status(fx.line_pages(spark, sf)))
-    records = log.filter(F.col("status") == "ok")
+    records = log.filter(F.col("line_no").isNotNull())
     merged = extract.merge_verifications(records, fx.verifications(spark, sf))
     return merged.select("Source_File", "Source_Page", "line_no", *EXTRACTED_COLUMNS)
 

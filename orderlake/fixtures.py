@@ -71,12 +71,19 @@ PAGE_PATH_SQL = "concat('inbox/', cast(l_orderkey % 40 as string), '/', Ingest_K
 NO_IMAGE, PROSE, EMPTY_ARRAY = "l_orderkey % 41 = 0", "l_orderkey % 43 = 0", "l_orderkey % 47 = 0"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *spread: str) -> DataFrame:
+    """A source table. One of fewer files than there are cores is spread by the
+    given columns, or all later work would run in the few tasks that read it; a
+    table of many files is left as it lies, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(df.inputFiles()) < cores:
+        return df.repartition(cores, *spread)
+    return df
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     parts = table(spark, sf_dir, "part")
@@ -98,12 +105,10 @@ def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(spark, sf_dir).select(*[F.expr(sql).alias(n) for n, sql in uneven.items()])
 
 
-def _slip(columns: list[str]):
-    """A slip with one ``Label: value`` line per column."""
-    lines = [
-        F.concat(F.lit(c.replace("_", " ") + ": "), F.col(c)) for c in columns
-    ]
-    return F.concat_ws("\n", F.lit("Packing slip"), *lines)
+def _slip(columns: list[str], *last):
+    """A slip with one ``Label: value`` line per column; NULL lines are left out."""
+    lines = [F.concat(F.lit(c.replace("_", " ") + ": "), F.col(c)) for c in columns]
+    return F.concat_ws("\n", F.lit("Packing slip"), *lines, *last)
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +120,11 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     slips make a reader answer with prose or an empty array.
     """
     lines = order_lines_raw(spark, sf_dir, "l_orderkey", "l_linenumber")
-    full = _slip(EXTRACTED_COLUMNS)
-    marked = (
-        F.when(F.expr(PROSE), F.lit("Sorry, I cannot read this order."))
-        .when(F.expr(EMPTY_ARRAY), F.lit("[]"))
+    answer = (
+        F.when(F.expr(PROSE), F.lit("Answer: Sorry, I cannot read this order."))
+        .when(F.expr(EMPTY_ARRAY), F.lit("Answer: []"))
     )
-    marked_full = F.coalesce(F.concat(full, F.lit("\nAnswer: "), marked), full)
+    lines = lines.withColumn("slip", _slip(EXTRACTED_COLUMNS, answer))
     filler = F.concat(
         F.lit("order for customer, see the attached sheet for everything else "),
         F.when(F.col("l_linenumber") % 2 == 0, F.lit("or write to desk@example.com"))
@@ -130,13 +134,13 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     slips = lines.select(
         F.expr(PAGE_PATH_SQL).alias("path"),
         (F.col("l_linenumber") - 1).cast("int").alias("page_index"),
-        F.when(kind == 0, marked_full)
+        F.when(kind == 0, F.col("slip"))
         .when(kind == 1, F.concat(F.lit(" order "), F.col("Order_Number")))
         .otherwise(filler)
         .alias("text"),
-        F.when(~F.expr(NO_IMAGE), F.encode(marked_full, "utf-8")).alias("content"),
+        F.when(~F.expr(NO_IMAGE), F.encode("slip", "utf-8")).alias("content"),
     )
-    documents = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents", "doc_id").select(
         F.concat(F.lit("inbox/documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.lit(0).alias("page_index"),
         "text",

@@ -49,28 +49,31 @@ DEFAULT_CATALOG = Catalog(
 )
 
 
-def _pick(family_code: Column, catalog: Catalog, value) -> Column:
-    """CASE over the family code; ``value`` gives each family's result."""
-    *head, last = catalog.families
-    chain = reduce(
-        lambda acc, fam: acc.when(family_code == fam.code, value(fam)), head[1:],
-        F.when(family_code == head[0].code, value(head[0])),
-    )
-    return chain.otherwise(value(last))
+def _matches(text: Column, family: Family) -> Column:
+    tests = [contains_any(text, family.contains)] if family.contains else []
+    tests += [text.startswith(prefix) for prefix in family.starts_with]
+    return reduce(lambda a, b: a | b, tests)
 
 
-def family_code(code: Column, description: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
-    """First family with a matching spelling in code + description."""
+def _lookup(key: Column, table: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def _family(code: Column, description: Column, catalog: Catalog, value) -> Column:
+    """CASE over the families in matching order; ``value`` gives each result."""
     text = F.upper(F.concat(blank_if_null(code), F.lit(" "), blank_if_null(description)))
     *matchable, fallback = catalog.families
-    result = F.lit(fallback.code)
+    result = F.lit(value(fallback))
     for fam in reversed(matchable):
-        hits = [contains_any(text, fam.contains)] if fam.contains else []
-        hits += [text.startswith(prefix) for prefix in fam.starts_with]
-        result = F.when(reduce(lambda a, b: a | b, hits), F.lit(fam.code)).otherwise(result)
+        result = F.when(_matches(text, fam), F.lit(value(fam))).otherwise(result)
     return result
 
 
+def family_code(code: Column, description: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
+    """First family with a matching spelling in code + description."""
+    return _family(code, description, catalog, lambda f: f.code)
+
+
 def pack_tier(code: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
     """Pack size: the first lone digit after a dash, else the last digit, else the default."""
     code = blank_if_null(code)
@@ -84,32 +87,26 @@ def pack_tier(code: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
     )
 
 
-def canonical_product(
-    code: Column, description: Column, catalog: Catalog = DEFAULT_CATALOG
-) -> dict[str, Column]:
-    """Canonical code, generated description and category of one line.
-
-    The description always comes from the catalog, so nothing of the source
-    text is carried over.
-    """
-    fam = family_code(code, description, catalog)
-    tier = pack_tier(code, catalog)
-    label = F.element_at(
-        F.create_map(*[F.lit(x) for kv in catalog.tier_labels.items() for x in kv]), tier
-    )
+def canonical_code(code: Column, description: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
+    """Canonical code of one line: the family, with the pack size where it has one."""
+    stem = _family(code, description, catalog, lambda f: f.code + "-" * f.tiered)
+    return F.when(stem.endswith("-"), F.concat(stem, pack_tier(code, catalog))).otherwise(stem)
 
-    def with_tier(f: Family, sep: str, base: str, suffix: Column) -> Column:
-        return F.concat(F.lit(base + sep), suffix) if f.tiered else F.lit(base)
 
-    return {
-        "Product_Code": _pick(fam, catalog, lambda f: with_tier(f, "-", f.code, tier)),
-        "Product_Description": _pick(fam, catalog, lambda f: with_tier(f, " — ", f.name, label)),
-        "Category": _pick(fam, catalog, lambda f: F.lit(f.category)),
-    }
+def canonical_description(canonical: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
+    """Description of a canonical code. It always comes from the catalog, so
+    nothing of the source text is carried over."""
+    names = {}
+    for f in catalog.families:
+        if f.tiered:
+            names |= {f"{f.code}-{t}": f"{f.name} — {x}" for t, x in catalog.tier_labels.items()}
+        else:
+            names[f.code] = f.name
+    return _lookup(canonical, names)
 
 
 def category_of(code: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
     """Category of an already canonical code."""
     prefix = F.substring_index(blank_if_null(code), "-", 1)
-    pairs = [F.lit(x) for f in catalog.families for x in (f.code, f.category)]
-    return F.coalesce(F.element_at(F.create_map(*pairs), prefix), F.lit(catalog.unknown_category))
+    categories = {f.code: f.category for f in catalog.families}
+    return F.coalesce(_lookup(prefix, categories), F.lit(catalog.unknown_category))

@@ -8,43 +8,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderlake.functions.text import blank_if_null, strip
+from orderlake.functions.text import strip
 from orderlake.schema import MONEY
 
-# Signed decimal with an optional exponent. Keeps out currency signs, thousands
-# separators, type suffixes, "nan" and "inf", some of which a cast would accept.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Signed decimal with an optional exponent, in plain spaces. Keeps out currency
+# signs, thousands separators, type suffixes, "nan" and "inf", some of which a
+# cast would accept.
+NUMBER = r"^[\t-\r ]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[\t-\r ]*$"
 
-
-def _numeric_text(c: Column) -> Column:
-    trimmed = strip(c)
-    return F.when(trimmed.rlike(NUMBER), trimmed)
+# An order number that is clean already; most are, and short enough to be exact.
+CLEAN_NUMBER = "^[1-9][0-9]{0,14}$"
 
 
 def to_money(c: Column) -> Column:
     """Exact decimal amount, NULL where the text is not a number."""
-    return _numeric_text(c).try_cast(MONEY)
+    return F.when(c.rlike(NUMBER), c).try_cast(MONEY)
 
 
 def to_number(c: Column) -> Column:
     """Finite double, NULL where the text is not a number."""
-    value = _numeric_text(c).try_cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    value = F.when(c.rlike(NUMBER), c).try_cast("double")
+    return F.nullif(value, F.lit(float("inf")))
 
 
 def to_date(c: Column, formats: Sequence[str] = ("M/d/yyyy",)) -> Column:
     """First format that reads the text, so the result does not depend on the
     other rows; NULL where none does."""
-    return F.coalesce(*[F.try_to_timestamp(strip(c), F.lit(f)) for f in formats]).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
 
 
 def clean_order_number(c: Column) -> Column:
     """Integer text without a decimal part or leading zeros; blank if not a number."""
-    value = to_number(blank_if_null(c))
-    whole = F.when(F.abs(value) < 9e18, value.try_cast("bigint").cast("string")).otherwise(
-        value.try_cast("decimal(38,0)").cast("string")
+    text = strip(c)
+    value = F.when(text.rlike(NUMBER), text).try_cast("double")
+    # Past the range of a long the digits come from the decimal form.
+    cleaned = F.coalesce(
+        value.try_cast("bigint").cast("string"),
+        value.try_cast("decimal(38,0)").cast("string"),
+        F.lit(""),
     )
-    return blank_if_null(whole)
+    return F.when(c.rlike(CLEAN_NUMBER), c).otherwise(cleaned)
 
 
 def month_of(c: Column) -> Column:

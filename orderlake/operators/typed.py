@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlake.functions.products import DEFAULT_CATALOG, Catalog, canonical_product, category_of
+from orderlake.functions.products import (
+    DEFAULT_CATALOG,
+    Catalog,
+    canonical_code,
+    canonical_description,
+    category_of,
+)
 from orderlake.functions.text import scrub
 from orderlake.functions.values import clean_order_number, to_date, to_money, to_number
 from orderlake.schema import MONEY_COLUMNS, ORDER_LINE_COLUMNS
@@ -15,9 +21,9 @@ from orderlake.schema import MONEY_COLUMNS, ORDER_LINE_COLUMNS
 
 def standardize_products(lines: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Replace code and description by the canonical ones."""
-    product = canonical_product(F.col("Product_Code"), F.col("Product_Description"), catalog)
-    return lines.withColumns(
-        {name: product[name] for name in ("Product_Code", "Product_Description")}
+    code = canonical_code(F.col("Product_Code"), F.col("Product_Description"), catalog)
+    return lines.withColumn("Product_Code", code).withColumn(
+        "Product_Description", canonical_description(F.col("Product_Code"), catalog)
     )
 
 

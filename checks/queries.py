@@ -240,7 +240,6 @@ def _new_store(spark) -> RecordStore:
 def store_rebuild(spark, sf):
     store = _new_store(spark)
     store.rebuild(fx.order_lines_raw(spark, sf))
-    store.rebuild(fx.order_lines_raw(spark, sf))
     return store.records().select(*_STORED)
 
 
@@ -361,8 +360,9 @@ def anonymize_rules(spark, sf):
 
 def anonymize_audit(spark, sf):
     """A random draw, written and read back, then audited against the source."""
-    lines = fx.raw_names(spark, sf)
     path = scratch_path(spark, "anonymized")
+    fx.raw_names(spark, sf).write.parquet(f"{path}/source")
+    lines = spark.read.parquet(f"{path}/source")
     anon.draw_identities(lines).write.parquet(f"{path}/identities")
     identities = spark.read.parquet(f"{path}/identities")
     anon.apply_identities(lines, identities, SCRUB).write.parquet(f"{path}/lines")

@@ -57,3 +57,7 @@ def test_a_hot_order_does_not_gather(spark):
     assert first.filter("Order_Number = '1'").first()["Ingest_Key"] == "000000"
     assert first.count() == 20000
     assert plan(first).count("WindowGroupLimit") == 2
+
+
+def test_each_page_is_read_and_checked_once(spark):
+    assert plan(QUERIES["extract_records"](spark, SF_DIR)).count("ArrowEvalPython") == 2

@@ -355,7 +355,9 @@ def anonymize_rules(spark, sf):
         F.concat(digest, F.lit("@example.org")).alias("fake_email"),
         F.concat(F.lit("1 "), digest, F.lit(" Rd")).alias("fake_line1"),
     )
-    return anon.apply_identities(lines, identities, SCRUB)
+    path = scratch_path(spark, "identities")
+    identities.write.parquet(path)
+    return anon.apply_identities(lines, spark.read.parquet(path), SCRUB)
 
 
 def anonymize_audit(spark, sf):

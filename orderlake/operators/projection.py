@@ -28,15 +28,17 @@ def conform(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.col(c) for c in keep], *public)
 
 
-def rename_to_display(records: DataFrame) -> DataFrame:
-    """Stored column names to display names; the internal columns are left out."""
+def rename_to_display(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Stored column names to display names, text blank where it is missing.
+
+    Of the internal columns the id is shown, and those named in ``keep``.
+    """
     names = {s: d for s, d in STORED_TO_DISPLAY.items() if s in records.columns}
-    shown = (["id"] if "id" in records.columns else []) + list(names)
-    filled = [
-        F.col(c) if c == "id" or c.endswith("_at") else F.coalesce(c, F.lit("")).alias(c)
-        for c in shown
+    internal = [c for c in ("id", *keep) if c in records.columns]
+    shown = [
+        F.col(c) if c.endswith("_at") else F.coalesce(c, F.lit("")).alias(c) for c in names
     ]
-    return records.select(*filled).withColumnsRenamed(names)
+    return records.select(*internal, *shown).withColumnsRenamed(names)
 
 
 def rename_to_stored(lines: DataFrame) -> DataFrame:

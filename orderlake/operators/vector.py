@@ -15,6 +15,23 @@ from orderlake.operators.topk import top_n_per_group
 # A task holds the query matrix and k rows a query; larger sets go in several calls.
 MAX_QUERY_VALUES = 4_000_000
 
+# Queries scored at a time, to bound the score matrix of a batch.
+QUERY_BLOCK = 256
+
+
+def _merge(best: tuple, scores: np.ndarray, row_ids: np.ndarray, k: int) -> tuple:
+    """Best k (scores, ids) of those so far and a batch, ties to the smaller id."""
+    held, held_ids = best
+    if len(held) == k:
+        # Level scores stay in, since a smaller id may still win.
+        level = np.flatnonzero(scores >= held[-1])
+        if not len(level):
+            return best
+        scores, row_ids = scores[level], row_ids[level]
+    scores, row_ids = np.concatenate([held, scores]), np.concatenate([held_ids, row_ids])
+    first = np.lexsort((row_ids, -scores))[:k]
+    return scores[first], row_ids[first]
+
 
 def vector_topk(
     vectors: DataFrame,
@@ -26,10 +43,11 @@ def vector_topk(
     """For each query vector the ``k`` rows of highest cosine similarity.
 
     Returns ``query_id, rank, <id_col>, score``; ties go to the smaller id.
-    Scores come from one matrix product per Arrow batch. Each batch keeps only
-    its own best k a query, so what is shuffled does not grow with the batch,
-    and rows are never paired with queries in the plan. Vectors of length zero
-    or NULL have no direction and are not ranked.
+    Scores come from matrix products over Arrow batches. A task keeps only its
+    best k a query and gives them out once at its end, so what is shuffled
+    depends on tasks and queries, not on rows, and rows are never paired with
+    queries in the plan. Vectors of length zero or NULL have no direction and
+    are not ranked.
     """
     if not queries:
         raise ValueError("no query vectors")
@@ -42,38 +60,31 @@ def vector_topk(
         raise ValueError("a query vector has length zero")
     unit = (matrix / lengths[:, None]).T
 
-    def best_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
         for batch in batches:
             batch = batch[batch[vector_col].notna()]
             if batch.empty:
                 continue
             rows = np.stack(batch[vector_col].to_numpy()).astype(np.float64)
-            row_ids = batch[id_col].to_numpy(dtype=np.int64)
             norms = np.linalg.norm(rows, axis=1)
             usable = norms > 0
-            rows, row_ids, norms = rows[usable], row_ids[usable], norms[usable]
-            if not len(rows):
-                continue
-            scores = rows @ unit / norms[:, None]
-            for q, query_id in enumerate(ids):
-                column = scores[:, q]
-                if len(column) > k:
-                    # Keep everything level with the k-th score, so that ties survive.
-                    cut = np.partition(column, len(column) - k)[len(column) - k]
-                    keep = np.flatnonzero(column >= cut)
-                    keep = keep[np.lexsort((row_ids[keep], -column[keep]))][:k]
-                else:
-                    keep = np.arange(len(column))
-                yield pd.DataFrame(
-                    {"query_id": query_id, id_col: row_ids[keep], "score": column[keep]}
-                )
+            rows = rows[usable] / norms[usable, None]
+            row_ids = batch[id_col].to_numpy(dtype=np.int64)[usable]
+            for start in range(0, len(ids), QUERY_BLOCK):
+                block = rows @ unit[:, start:start + QUERY_BLOCK]
+                for offset in range(block.shape[1]):
+                    q = start + offset
+                    best[q] = _merge(best[q], block[:, offset], row_ids, k)
+        for query_id, (scores, found) in zip(ids, best):
+            yield pd.DataFrame({"query_id": query_id, id_col: found, "score": scores})
 
     schema = T.StructType([
         T.StructField("query_id", T.LongType()),
         T.StructField(id_col, T.LongType()),
         T.StructField("score", T.DoubleType()),
     ])
-    candidates = vectors.select(id_col, vector_col).mapInPandas(best_of_batch, schema)
+    candidates = vectors.select(id_col, vector_col).mapInPandas(best_of_task, schema)
     ranked = top_n_per_group(candidates, ["query_id"], [F.desc("score"), id_col], k, "rank")
     return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), id_col, "score")
 

@@ -157,3 +157,22 @@ def test_conform_twice(lines):
     assert once.columns == ORDER_LINE_COLUMNS
     assert projection.conform(once).collect() == once.collect()
     assert once.first()["Date"] == ""
+
+
+def test_vector_topk_keeps_ties_by_id(spark):
+    rows = [(i, [1.0, 0.0]) for i in reversed(range(50))] + [(99, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = vector.vector_topk(df, {5: [2.0, 0.0]}, 4).orderBy("rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [
+        (1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
+
+
+def test_centroid_limit(spark):
+    df = spark.createDataFrame([(1, 1, [1.0]), (2, 2, [3.0])], "vec_id long, label int, embedding array<double>")
+    assert vector.group_centroids(df, dimensions=1) == {1: [1.0], 2: [3.0]}
+    with pytest.raises(ValueError):
+        vector.group_centroids(df, dimensions=1, max_groups=1)

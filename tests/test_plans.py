@@ -10,7 +10,7 @@ from tests.conftest import SF_DIR
 
 # These run jobs while they are built; their parts are covered by the others.
 EAGER = {"csv_roundtrip", "store_rebuild", "store_append", "store_update", "store_delete",
-         "stream_extract", "page_source", "anonymize_audit", "vector_topk"}
+         "stream_extract", "page_source", "anonymize_rules", "anonymize_audit", "vector_topk"}
 
 
 def plan(df):
@@ -61,3 +61,34 @@ def test_a_hot_order_does_not_gather(spark):
 
 def test_each_page_is_read_and_checked_once(spark):
     assert plan(QUERIES["extract_records"](spark, SF_DIR)).count("ArrowEvalPython") == 2
+
+
+def test_a_hot_customer_is_split_in_the_identity_join(spark, folder):
+    from orderlake.fixtures import order_lines_raw
+    from orderlake.plans.anonymize import apply_identities, customer_key
+
+    raw = order_lines_raw(spark, SF_DIR)
+    hot = F.when(F.hash("Ingest_Key") % 3 == 0, F.lit("")).otherwise(F.col("Customer_Name"))
+    raw.withColumn("Customer_Name", hot).repartition(6).write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+    ids = lines.select(customer_key(F.col("Customer_Name")).alias("cust_key")).distinct().select(
+        "cust_key", *[F.col("cust_key").alias(f"fake_{c}") for c in ("name", "email", "line1")])
+    ids.write.parquet(f"{folder}/ids")
+    ids = spark.read.parquet(f"{folder}/ids")
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        after = apply_identities(lines, ids)
+        assert len(after.collect()) == lines.count()
+        assert "skew=true" in plan(after)
+    finally:
+        for key in changed:
+            spark.conf.unset(key)

@@ -77,7 +77,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *spread: str) -> DataFram
     table of many files is left as it lies, without a shuffle."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread and len(df.inputFiles()) < cores:
+    if spread and len(df._jdf.inputFiles()) < cores:
         return df.repartition(cores, *spread)
     return df
 

@@ -44,7 +44,6 @@ INGEST_KEY = "Ingest_Key"
 
 MONEY = T.DecimalType(18, 4)
 
-ORDER_LINE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ORDER_LINE_COLUMNS])
 EXTRACTED_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in EXTRACTED_COLUMNS])
 VERIFIED_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in VERIFIED_COLUMNS])
 

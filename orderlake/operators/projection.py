@@ -56,9 +56,13 @@ def search_document(lines: DataFrame, stored: bool = False):
 
 
 def with_provenance(pages: DataFrame) -> DataFrame:
-    """File base name and one-based page number of each page."""
+    """File name and one-based number of each page.
+
+    The name is the base name of the path, unless the table gives one of its own.
+    """
+    own_name = "Source_File" in pages.columns
     return pages.withColumns({
-        "Source_File": base_name(F.col("path")),
+        "Source_File": F.col("Source_File") if own_name else base_name(F.col("path")),
         "Source_Page": (F.col("page_index") + 1).cast("string"),
     })
 

@@ -93,6 +93,8 @@ def test_search_tiers(lines):
     assert keys(search.search_ranked(df, "a.b")) == ["0004", "0005"]
     assert keys(search.search_ranked(df, "a.b", mode="literal")) == []
     assert keys(search.search_ranked(df, "1(", mode="literal")) == []
+    with pytest.raises(ValueError):
+        search.search_ranked(df, "1(")
     assert keys(search.search_ranked(df, "", 2)) == ["0000", "0001"]
     assert keys(search.search_ranked(df, "1", 2)) == ["0001", "0002"]
     both = search.search_many(df, ["12", "1[2]"], limit=3).orderBy("Query", "Rank")

@@ -27,7 +27,7 @@ def powers(n: int) -> np.ndarray:
     """The first n powers of the hash base, modulo 2**64."""
     global _powers
     while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1] * _BASE)])
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _BASE)])
     return _powers[:n]
 
 
@@ -96,8 +96,10 @@ class Words:
         values = _BYTE[self.data[self.solid]] * powers(int(length.max()) + 1)[within]
         return mix(np.add.reduceat(values, head) + length.astype(np.uint64) * _BASE)
 
-    def bytes_of(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
+    def take(self, which: np.ndarray) -> list[bytes]:
+        """The bytes of some words."""
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist())]
 
 
 def windows(values: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

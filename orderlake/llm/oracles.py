@@ -1,3 +1,47 @@
 """SQL twins of the queries that SQL can express over whole tables."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op9_curriculum_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(md5(doc_id::VARCHAR), '') AS hash
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place
+  FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, ([5.0, 2.0, 1.0])[(place % 3) + 1]::DOUBLE AS weight, ([0.5, 0.0, -0.5])[(place % 3) + 1]::DOUBLE AS tilt,
+         2.0::DOUBLE * source_size AS cap
+  FROM sources
+), loaded AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS demand, sum(weight) OVER () AS whole,
+         coalesce(sum(cap) OVER w, 0) AS cap_before, coalesce(sum(weight) OVER w, 0) AS weight_before
+  FROM weighted
+  WINDOW w AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), filled AS (
+  SELECT *, (demand - cap_before) * weight > cap * (whole - weight_before) AS is_full FROM loaded
+), shared AS (
+  SELECT *, demand - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER () AS rest,
+         whole - sum(CASE WHEN is_full THEN weight ELSE 0 END) OVER () AS open
+  FROM filled
+), targets AS (
+  SELECT source, source_size, tilt, CASE WHEN is_full THEN cap ELSE rest * weight / open END AS target FROM shared
+), placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.tilt, floor(t.target + 0.5)::BIGINT AS words,
+         (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT
+           AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, greatest(0, least(size, words - start))::BIGINT AS once,
+         greatest(0, least(size, words - source_size - start))::BIGINT AS again
+  FROM placed
+), shares AS (
+  SELECT *, (start + once / 2.0::DOUBLE) / words AS share FROM copies
+)
+SELECT doc_id, size, source_size, target, once + again AS taken,
+  CASE WHEN once > 0 THEN CASE WHEN tilt = 0 THEN share
+    ELSE (1 + tilt - sqrt((1 + tilt) * (1 + tilt) - 4 * tilt * share)) / (2 * tilt) END END AS position
+FROM shares
+"""

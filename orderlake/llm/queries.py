@@ -5,19 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlake.llm import mil, string_kernel
+from orderlake.llm.curriculum import plan_columns
+from orderlake.llm.fertility import fertility
+from orderlake.llm.labelled import id_remainder
 from orderlake.llm.prefix_tokens import prefix_counts
+from orderlake.llm.retrieval_packing import retrieval_packing
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def op1_tokenizer_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text", "lang")
+    measured = fertility(docs, "piece_bpe_32k.model", keep=["doc_id"])
+    return measured.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "chars_per_token", "fallback_share", "token_entropy",
+    )
+
+
+def op2_attention_mil_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _documents(spark, sf).select("doc_id", "text"), _labels(spark, sf)
+    model = mil.train(docs, labels.where(id_remainder(F.col("doc_id"), 5) != 0), "quality")
+    scored = mil.score(docs, model, keep=["doc_id"])
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval_packing(_documents(spark, sf).select("doc_id", "text"), "word_bpe_49k.json")
+
+
+def op4_string_kernel_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _documents(spark, sf).select("doc_id", "text"), _labels(spark, sf)
+    model = string_kernel.train(docs, labels.where(id_remainder(F.col("doc_id"), 3) != 1), "toxic")
+    scored = string_kernel.score(docs, model, keep=["doc_id"])
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_prefix_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf).select("doc_id", "text")
     counted = prefix_counts(docs, "byte_bpe_50k.json", budget=1024, keep=["doc_id"], keep_table=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fit_chars")
 
 
+def op9_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    plan = plan_columns(_documents(spark, sf).select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 QUERIES = {
+    "op1_tokenizer_fertility": op1_tokenizer_fertility,
+    "op2_attention_mil_quality": op2_attention_mil_quality,
+    "op3_retrieval_packing": op3_retrieval_packing,
+    "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
     "op8_prefix_token_counts": op8_prefix_token_counts,
+    "op9_curriculum_mixing": op9_curriculum_mixing,
 }

@@ -102,16 +102,34 @@ class Words:
         return [data[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist())]
 
 
-def windows(values: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``size`` consecutive values of one row, and the index each window starts at."""
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_inverses = np.ones(1, dtype=np.uint64)
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    global _inverses
+    if len(_inverses) < n:
+        steps = np.full(max(n, 1 << 12), _INVERSE, dtype=np.uint64)
+        steps[0] = 1
+        _inverses = np.multiply.accumulate(steps)
+    return _inverses[:n]
+
+
+def rolling(values: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` consecutive values."""
     n = len(values) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    start = np.flatnonzero(row[:n] == row[size - 1 :])
-    total = np.zeros(n, np.uint64)
-    for k, p in enumerate(powers(size + 1)[1:]):
-        total += values[k : k + n] * p
-    return mix(total[start]), start
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=total[1:])
+    return mix((total[size:] - total[:-size]) * _inverse_powers(n))
+
+
+def windows(values: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` consecutive values of one row, and the index each window starts at."""
+    found = rolling(values, size)
+    start = np.flatnonzero(row[: len(found)] == row[size - 1 :]) if len(found) else np.zeros(0, np.int64)
+    return found[start], start
 
 
 def per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:

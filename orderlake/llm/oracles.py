@@ -45,3 +45,25 @@ SELECT doc_id, size, source_size, target, once + again AS taken,
     ELSE (1 + tilt - sqrt((1 + tilt) * (1 + tilt) - 4 * tilt * share)) / (2 * tilt) END END AS position
 FROM shares
 """
+
+ORACLES["op10_block_anchor_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50)
+), firsts AS (
+  SELECT content, min(doc_id) AS first_doc FROM windows GROUP BY content
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i
+  FROM windows JOIN firsts USING (content) WHERE first_doc < doc_id
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

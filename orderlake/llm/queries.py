@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlake.llm import mil, string_kernel
+from orderlake.llm.block_dedup import block_dedup
 from orderlake.llm.curriculum import plan_columns
 from orderlake.llm.fertility import fertility
 from orderlake.llm.labelled import id_remainder
@@ -61,6 +62,11 @@ def op9_curriculum_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op10_block_anchor_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = block_dedup(_documents(spark, sf).select("doc_id", "text"), window=50)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_tokenizer_fertility": op1_tokenizer_fertility,
     "op2_attention_mil_quality": op2_attention_mil_quality,
@@ -68,4 +74,5 @@ QUERIES = {
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
     "op8_prefix_token_counts": op8_prefix_token_counts,
     "op9_curriculum_mixing": op9_curriculum_mixing,
+    "op10_block_anchor_dedup": op10_block_anchor_dedup,
 }

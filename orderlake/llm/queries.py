@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderlake.llm import mil, string_kernel
 from orderlake.llm.block_dedup import block_dedup
+from orderlake.llm.bottom_k import near_duplicates
 from orderlake.llm.curriculum import plan_columns
 from orderlake.llm.fertility import fertility
 from orderlake.llm.labelled import id_remainder
@@ -51,6 +52,10 @@ def op4_string_kernel_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_bottom_k_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf).select("doc_id", "text"), words=5, percent=75)
+
+
 def op8_prefix_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf).select("doc_id", "text")
     counted = prefix_counts(docs, "byte_bpe_50k.json", budget=1024, keep=["doc_id"], keep_table=False)
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_attention_mil_quality": op2_attention_mil_quality,
     "op3_retrieval_packing": op3_retrieval_packing,
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
+    "op6_bottom_k_near_dedup": op6_bottom_k_near_dedup,
     "op8_prefix_token_counts": op8_prefix_token_counts,
     "op9_curriculum_mixing": op9_curriculum_mixing,
     "op10_block_anchor_dedup": op10_block_anchor_dedup,

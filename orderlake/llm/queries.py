@@ -13,6 +13,8 @@ from orderlake.llm.fertility import fertility
 from orderlake.llm.labelled import id_remainder
 from orderlake.llm.prefix_tokens import prefix_counts
 from orderlake.llm.retrieval_packing import retrieval_packing
+from orderlake.llm.suffix_dedup import suffix_dedup
+from orderlake.llm.vector_tiles import near_vectors
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,10 +54,21 @@ def op4_string_kernel_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = suffix_dedup(_documents(spark, sf).select("doc_id", "text"), window=50)
+    return cleaned.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_bottom_k_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf).select("doc_id", "text"), words=5, percent=75)
 
 
+def op7_tiled_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), threshold=0.95)
+
+
 def op8_prefix_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf).select("doc_id", "text")
     counted = prefix_counts(docs, "byte_bpe_50k.json", budget=1024, keep=["doc_id"], keep_table=False)
@@ -77,7 +90,9 @@ QUERIES = {
     "op2_attention_mil_quality": op2_attention_mil_quality,
     "op3_retrieval_packing": op3_retrieval_packing,
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_bottom_k_near_dedup": op6_bottom_k_near_dedup,
+    "op7_tiled_vector_dedup": op7_tiled_vector_dedup,
     "op8_prefix_token_counts": op8_prefix_token_counts,
     "op9_curriculum_mixing": op9_curriculum_mixing,
     "op10_block_anchor_dedup": op10_block_anchor_dedup,

@@ -12,7 +12,8 @@ a smaller id too. Hashes travel between chunks of documents and buckets of keys
 A document that equals a smaller one word for word goes as a whole and is not compared.
 Null and empty texts have no words. A null id counts as greater than all others; rows
 with the same id count as one document and take nothing from each other. An empty table
-gives an empty result. Other columns pass through; a clash with an added one is refused.
+gives an empty result. Other columns pass through; one that has the name of an added
+column, or is named ``chunk``, gives way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlake.llm import exchange as ex
 from orderlake.llm.arrow_text import Words, flat, mix, per_row, rolling, slices
-from orderlake.llm.schema import added
+from orderlake.llm.schema import added, without
 
 WINDOW = 50
 LAST = np.iinfo(np.int64).max
@@ -165,6 +166,7 @@ def block_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CHU
     """Adds ``n_words, n_removed, spans`` (removed word ranges) and ``kept_text`` (kept words, joined by one space)."""
     if window < 2 or window % 2:
         raise ValueError("window is an even number of words")
+    docs = without(docs, ["chunk", *(f.name for f in _FIELDS)])
     columns = docs.columns
     schema = added(docs, _FIELDS)
     buckets = ex.chunk_count(docs, chunk_bytes)

@@ -17,8 +17,8 @@ from alternating stars.
 
 Null and empty texts and texts without words have an empty set and link with nothing; a
 text of fewer than five words has one shingle. Rows with the same id are different
-members of their set, and equal in the outcome. An added column that is there already is
-refused; an empty table gives an empty result.
+members of their set, and equal in the outcome. Other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orderlake.llm.arrow_text import Words, flat, mix, slices, windows
 from orderlake.llm.components import components
-from orderlake.llm.schema import added
 from orderlake.llm.scratch import written
 
 WORDS = 5
@@ -260,6 +258,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents of which no smaller near-duplicate is there; rows with the same id stay together."""
-    added(docs, [T.StructField("_kept", T.BooleanType())])
     kept = near_duplicates(docs, **how).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))

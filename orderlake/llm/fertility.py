@@ -5,7 +5,7 @@ public sentencepiece vocabulary, the entropy of its tokens, and plain word and l
 counts. Words are encoded one by one, so a text's figures are sums over its words.
 
 A null or empty text has no words, entropy and shares of 0, and fails the base rule.
-Rows may repeat; an added column that is there already is refused.
+Rows may repeat; a column that has the name of an added one gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from orderlake.llm.arrow_text import _BASE, _BYTE, Words, first_mask, flat, mix, per_row, powers, slices, windows
-from orderlake.llm.schema import added
+from orderlake.llm.schema import added, without
 
 
 class Band(NamedTuple):
@@ -206,6 +206,7 @@ def fertility(
     script. ``keep`` names the columns that pass through (all by default).
     """
     bands = {**BANDS, **(bands or {})}
+    docs = without(docs, [f.name for f in _FIELDS])
     columns = docs.columns
     kept = columns if keep is None else keep
     schema = added(docs.select(kept), _FIELDS)

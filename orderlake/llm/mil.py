@@ -9,7 +9,7 @@ weighted mean of the encoded passages.
 The fit runs on a bounded sample (``SAMPLE_EACH`` documents of either label, of at most
 ``SAMPLE_BYTES``), the scoring on all texts. A text without words scores 0. Equal rows
 score alike; null labels are left out; without documents of both labels every text with
-a word scores the share of label 1. An added column that is there already is refused.
+a word scores the share of label 1. A column named ``score`` gives way to the new one.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from orderlake.llm.arrow_text import Words, first_mask, flat, per_row, slices, windows
 from orderlake.llm.labelled import labelled_sample
-from orderlake.llm.schema import added
+from orderlake.llm.schema import added, without
 
 PASSAGE_WORDS = 64
 SAMPLE_EACH = 1500
@@ -210,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int
 
 def score(docs: DataFrame, model: Model | float, keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` from 0 to 1; ``keep`` names the columns that pass through (all by default)."""
+    docs = without(docs, ["score"])
     columns = docs.columns
     kept = columns if keep is None else keep
     schema = added(docs.select(kept), [T.StructField("score", T.DoubleType())])

@@ -10,7 +10,7 @@ a chunk's counts are found once and kept.
 ``prefix_counts`` stores, for each text, the change of the count at every code
 point (one byte each, or four where one byte is too narrow). A null text counts
 as empty, an empty text has 0 tokens and an empty table. Rows may repeat; other
-columns pass through, and a clash with an added column is refused.
+columns pass through; one that has the name of an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from orderlake.llm.arrow_text import _BASE, mix, powers, slices
-from orderlake.llm.schema import added
+from orderlake.llm.schema import added, without
 
 CACHE_CHUNKS = 400_000
 LONG_CHUNK = 64
@@ -297,13 +297,14 @@ def prefix_counts(
     ``vocabulary`` names a byte-level BPE file of the public tokenizers; ``keep`` the columns that pass
     through (all by default).
     """
-    columns = [c for c in docs.columns]
     extra = [
         T.StructField("n_bytes", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("fit_chars", T.LongType()),
         *([T.StructField("prefix_table", T.BinaryType())] if keep_table else []),
     ]
+    docs = without(docs, [f.name for f in extra])
+    columns = docs.columns
     kept = columns if keep is None else keep
     schema = added(docs.select(kept), extra)
 

@@ -20,7 +20,8 @@ byte for byte goes as a whole.
 
 Null and empty texts have no bytes. A null id counts as greater than all others; rows
 with the same id count as one document and take nothing from each other. An empty table
-gives an empty result. Other columns pass through; a clash with an added one is refused.
+gives an empty result. Other columns pass through; one that has the name of an added
+column, or is named ``chunk``, gives way to it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlake.llm import exchange as ex
 from orderlake.llm.arrow_text import _BYTE, _inverse_powers, flat, mix, powers, rolling
-from orderlake.llm.schema import added
+from orderlake.llm.schema import added, without
 from orderlake.llm.suffix_array import equal_prefixes, suffix_array
 
 WINDOW = 50
@@ -328,6 +329,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CH
     """Adds ``n_bytes, n_removed, spans`` (removed byte ranges) and ``kept`` (the remaining bytes)."""
     if window < 8:
         raise ValueError("window is at least 8 bytes")
+    docs = without(docs, ["chunk", *(f.name for f in _FIELDS)])
     columns = docs.columns
     schema = added(docs, _FIELDS)
     out_schema = to_arrow_schema(schema)

@@ -14,8 +14,8 @@ the pairs, so a group of near copies costs a row a vector and tile. Vectors with
 the same bytes are one from the start. Components come from alternating stars.
 
 Vectors that are null, zero, or hold null or non-finite components, and those with a null
-id, link with nothing. Vectors of different lengths do not link. Rows with the same id
-are different vectors. An empty table gives an empty result; other columns are not read.
+id, link with nothing. Vectors of different lengths do not link. Different vectors
+with the same id each get the links of all of them. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

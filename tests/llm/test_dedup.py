@@ -1,0 +1,233 @@
+"""Substring removal, near-duplicates and vectors against brute force."""
+
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from orderlake.llm import bottom_k, suffix_dedup
+from orderlake.llm.block_dedup import block_dedup
+from orderlake.llm.components import components
+from orderlake.llm.suffix_array import suffix_array
+from orderlake.llm.vector_tiles import near_vectors
+from tests.conftest import SF_DIR
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string"
+
+
+def _passages(seed=3, n=60):
+    """Texts that share passages of all lengths, with copies, edits, ties and odd rows."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    line = lambda k: " ".join(rng.choices(words, k=k))
+    shared = [line(k) for k in (9, 30, 49, 50, 51, 80, 200)]
+    rows = []
+    for i in range(n):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else line(rng.randint(1, 90)) for _ in range(rng.randint(1, 5))]
+        rows.append((i * 3 % n, "\n".join(parts)))
+    rows += [(100 + i, rows[5][1]) for i in range(4)]  # exact copies
+    edited = rows[7][1].split(" ")
+    edited[len(edited) // 2] = "changed"
+    rows += [(110, " ".join(edited)), (111, None), (112, ""), (113, " \n\t"), (114, "tiny"), (115, "ab " * 4000)]
+    rows += [(116, "ab " * 3000), (117, "é" * 500), (118, "é" * 499 + "è"), (None, rows[5][1]), (120, "x"), (120, "x")]
+    return rows
+
+
+def _removed(rows, units, size):
+    """For each row, which units a window covers that also starts in a smaller document."""
+    first = {}
+    key = lambda d: float("inf") if d is None else d
+    for d, text in sorted(rows, key=lambda r: key(r[0])):
+        u = units(text)
+        for i in range(len(u) - size + 1):
+            first.setdefault(u[i : i + size], key(d))
+    out = []
+    for d, text in rows:
+        u = units(text)
+        covered = [False] * len(u)
+        for i in range(len(u) - size + 1):
+            if first[u[i : i + size]] < key(d):
+                covered[i : i + size] = [True] * size
+        out.append((d, u, covered))
+    return out
+
+
+@pytest.mark.parametrize("chunk_bytes", [20_000, 10 << 20])
+def test_block_dedup(spark, chunk_bytes):
+    rows = _passages()
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], f"{DOCS}, spans string, n int")
+    got = {r.n: r for r in block_dedup(docs, chunk_bytes=chunk_bytes).collect()}
+    assert len(got) == len(rows)
+    for n, (d, words, covered) in enumerate(_removed(rows, lambda t: tuple(WORD.findall(t or "")), 50)):
+        r = got[n]
+        assert (r.doc_id, r.n_words, r.n_removed) == (d, len(words), sum(covered))
+        assert r.kept_text == " ".join(w for w, c in zip(words, covered) if not c)
+        assert [k for s in r.spans for k in range(s.start, s.end)] == [k for k, c in enumerate(covered) if c]
+
+
+@pytest.mark.parametrize("chunk_bytes", [20_000, 10 << 20])
+def test_suffix_dedup(spark, chunk_bytes):
+    rows = _passages(8)
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], f"{DOCS}, kept string, n int")
+    got = {r.n: r for r in suffix_dedup.suffix_dedup(docs, chunk_bytes=chunk_bytes).collect()}
+    assert len(got) == len(rows)
+    for n, (d, raw, covered) in enumerate(_removed(rows, lambda t: (t or "").encode(), 50)):
+        r = got[n]
+        assert (r.doc_id, r.n_bytes, r.n_removed) == (d, len(raw), sum(covered)), n
+        assert bytes(r.kept) == bytes(b for b, c in zip(raw, covered) if not c)
+        assert [k for s in r.spans for k in range(s.start, s.end)] == [k for k, c in enumerate(covered) if c]
+
+
+@pytest.mark.parametrize("job", [block_dedup, suffix_dedup.suffix_dedup])
+def test_substring_dedup_of_nothing(spark, job):
+    empty = spark.createDataFrame([], DOCS)
+    assert job(empty).count() == 0
+    assert job(spark.createDataFrame([(1, None)], DOCS)).first()["n_removed"] == 0
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(200):
+        s = np.array([rng.randint(1, rng.choice([1, 2, 5, 300])) for _ in range(rng.randint(1, 50))])
+        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def _near(rows, percent=75):
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    sets = []
+    for _, text in rows:
+        w = WORD.findall((text or "").translate(lower))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    lists = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            lists[x].append(i)
+    pairs = {(a, b) for found in lists.values() for a in found for b in found if a < b}
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    smallest = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        smallest[find(i)].append(d)
+    return [(d, len(sets[i]), min(smallest[find(i)])) for i, (d, _) in enumerate(rows)]
+
+
+def _family(n=45, words=120, seed=6):
+    """Edited copies of one text, some near each other and some not, and texts that share a passage only."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 9])):
+            copy[rng.randrange(words)] = f"e{rng.randrange(30)}"
+        rows.append((1000 - i, " ".join(copy)))
+    for i in range(30):
+        own = [f"o{i}_{k}" for k in range(100)]
+        rows.append((i, " ".join(base[:40] + own)))
+    rows += [(2000, None), (2001, ""), (2002, "Few Words"), (2003, "few words"), (2004, "few words here"), (2005, " ".join(base).upper())]
+    return rows + [(2006, "a b c d e f " * 500), (2007, "a b c d e f " * 900)]
+
+
+def test_near_duplicates(spark, monkeypatch):
+    rows = _family()
+    docs = spark.createDataFrame([(*r, "x") for r in rows], f"{DOCS}, kept string")
+    want = sorted(_near(rows))
+    assert sum(d != c for d, _, c in want) > 20
+    for block in (1024, 16):
+        monkeypatch.setattr(bottom_k, "BLOCK", block)
+        got = bottom_k.near_duplicates(docs).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    left = bottom_k.one_of_each(docs)
+    assert left.columns == ["doc_id", "text", "kept"]
+    assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in want})
+
+
+def test_near_duplicates_of_the_given_table(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = bottom_k.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_near(rows))
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (4, None)]
+    got = bottom_k.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 5
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (None, 1), (4, 4)}
+    assert bottom_k.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(40)]
+    links += [(900, 900 + i) for i in range(60)]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    loops = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert {r.node: r.component for r in got} == {x: find(x) for x in root if x not in loops}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _vectors(seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.25, 1])).tolist()) for i in range(300)]
+    rows += [(400 + i, rows[3][1]) for i in range(20)]  # copies
+    rows += [(430 + i, [x * 10.0**e for x in rows[4][1]]) for i, e in enumerate((-170, 150, 3))]  # one direction
+    return rows
+
+
+ODD_VECTORS = [
+    (500, None), (501, [0.0] * 16), (502, [1.0] * 15 + [None]), (503, [float("nan")] + [1.0] * 15), (504, [float("inf")] + [1.0] * 15),
+    (505, []), (506, [1.0] * 3), (507, [2.0] * 3), (508, [-0.0] * 15 + [1.0]), (509, [0.0] * 15 + [2.0]),
+]
+
+
+@pytest.mark.parametrize("block", [30, 4096])
+def test_vectors(spark, block):
+    rows = _vectors() + ODD_VECTORS
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, kept string")
+    got = {r.vec_id: r for r in near_vectors(frame, block=block).collect()}
+    assert len(got) == len(rows)
+    units = {}
+    for i, v in rows:
+        if v and None not in v and np.isfinite(v).all() and any(v):
+            x = np.array(v) / np.abs(v).max()
+            units[i] = x / np.linalg.norm(x)
+    links = {i: {j for j in units if j != i and len(units[j]) == len(units[i]) and units[i] @ units[j] >= 0.95} for i in units}
+    for i, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links.get(i, ())), min(seen), min(seen) == i), i
+    assert near_vectors(frame.where("false")).count() == 0
+    assert near_vectors(frame.where("vec_id between 500 and 505")).count() == 6
+
+
+def test_vectors_with_equal_or_no_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.001]), (None, [1.0, 0.0]), (3, [0.0, 1.0])]
+    got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 0, None, True), (3, 0, 3, True)], key=str)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from checks.queries import QUERIES
@@ -32,6 +33,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="orderlake-bench-"),
             "spark.ui.showConsoleProgress": "false",
         },
     )

@@ -378,10 +378,22 @@ ORACLES = {
     "verify_merge": f"""with {_PARSED} select File as Source_File, Page as Source_Page, line_no,
       {', '.join(_merged(c) for c in EXTRACTED_COLUMNS)} from parsed where status = 'ok'""",
     "stream_extract": _RECORDS,
+    "run_extraction": _RECORDS,
+    "stream_restart": _RECORDS,
+    "store_reload": f"with {_raw()} select * exclude (Ingest_Key) from ({_stored()})",
+    "import_counters": f"""with {_raw()}, {_NAMES},
+      counts as (select count(*) as n, count(*) filter (Shipping_State <= 'IL') as early from raw)
+      select 'rebuild' as step, early as n from counts union all select 'append', n - early from counts
+      union all select 'lines_read', n from counts union all select 'lines_written', n from counts
+      union all select 'customers', count(distinct {_KEY}) from names""",
     "anonymize_rules": f"""with {_NAMES}, keyed as (select *, md5({_KEY}) as digest from names)
       select Ingest_Key, {', '.join(f"{_scrubbed('(' + _ANON.get(c, c) + ')')} as {c}"
                                     for c in ORDER_LINE_COLUMNS)} from keyed""",
     "anonymize_audit": _AUDIT,
+    "anonymize_job": f"""with {_ORDERS}
+      select cast(date_trunc('month', Date_parsed) as date) as Month,
+        coalesce(cast(sum(Total_Amount) as double), 0.0) as revenue
+      from ord where Date_parsed is not null group by 1""",
     "source_quality": f"""with {_NAMES} select count(*) as lines,
       count(*) filter ({_clean('Order_Number')} = '') as unusable_order_numbers,
       count(*) filter (length(regexp_replace(Shipping_Zip, '[^0-9]', '', 'g')) = 4) as four_digit_zips

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.slip_reader import SLIP_READER
 from orderlake import fixtures as fx
+from orderlake import session
 from orderlake.functions.pages import has_sufficient_text
 from orderlake.functions.products import category_of
 from orderlake.functions.text import blank_if_null, zip_prefix
@@ -14,14 +19,23 @@ from orderlake.operators import filters, mutate, orders, projection, search, typ
 from orderlake.plans import anonymize as anon
 from orderlake.plans import audit as audits
 from orderlake.plans import extract, reports
-from orderlake.plans.slip_reader import SLIP_READER
 from orderlake.schema import EXTRACTED_COLUMNS, INGEST_KEY, MONEY_COLUMNS, ORDER_LINE_COLUMNS
-from orderlake.session import scratch_path
 from orderlake.sources.csv_lines import read_order_lines, write_order_lines
 from orderlake.sources.pages import read_pages
 from orderlake.sources.record_store import RecordStore, to_records
 from orderlake.streaming.ingest import read_log, stream_extraction
 
+
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the shared folder; a local one for trial runs of a local session without the setting."""
+    try:
+        return session.scratch_path(spark, purpose)
+    except RuntimeError:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise
+        return f"{tempfile.mkdtemp(prefix='orderlake-checks-')}/{purpose}"
+
+
 SCRUB = ["ACME", "BUILDING"]
 SEARCHES = ["12", "ring", "customer.000000007@example.com", "city 1[0-9]"]
 SEARCH_LIMIT = 100
@@ -191,12 +205,20 @@ def filter_equality(spark, sf):
     return filters.filter_equality(_lines(spark, sf), wanted)
 
 
+def _filled_store(spark, sf) -> RecordStore:
+    store = _new_store(spark)
+    store.rebuild(fx.order_lines_raw(spark, sf))
+    return store
+
+
 def search_exact_order(spark, sf):
-    return search.search_ranked(_lines(spark, sf), " 12 ", SEARCH_LIMIT)
+    found = _filled_store(spark, sf).search(" 12 ", SEARCH_LIMIT)
+    return found.select(INGEST_KEY, *ORDER_LINE_COLUMNS)
 
 
 def search_email(spark, sf):
-    return search.search_ranked(_lines(spark, sf), "customer.000000007@example.com", SEARCH_LIMIT)
+    found = _filled_store(spark, sf).search("customer.000000007@example.com", SEARCH_LIMIT)
+    return found.select(INGEST_KEY, *ORDER_LINE_COLUMNS)
 
 
 def search_text(spark, sf):
@@ -280,6 +302,28 @@ def store_delete(spark, sf):
     return store.records().select(*_STORED)
 
 
+def store_reload(spark, sf):
+    """CSV files loaded, others put among them, and all of them loaded again."""
+    base = scratch_path(spark, "reload")
+    store, raw = _new_store(spark), fx.order_lines_raw(spark, sf)
+    early = F.col("Shipping_State") <= "IL"
+    write_order_lines(raw.filter(early), f"{base}/b", max_records_per_file=7_000)
+    store.append(read_order_lines(spark, f"{base}/*"))
+    write_order_lines(raw.filter(~early).drop(INGEST_KEY), f"{base}/a", max_records_per_file=500_000)
+    store.append(read_order_lines(spark, f"{base}/*"))
+    store.append(read_order_lines(spark, f"{base}/*"))
+    return store.records().select(*_STORED[1:])
+
+
+def import_counters(spark, sf):
+    """What the jobs report: records of a rebuild, of an append that overlaps it, lines and customers anonymised."""
+    store, raw = _new_store(spark), fx.order_lines_raw(spark, sf)
+    path = scratch_path(spark, "counted")
+    rows = [("rebuild", store.rebuild(raw.filter(F.col("Shipping_State") <= "IL"))), ("append", store.append(raw))]
+    rows += anon.anonymize(fx.raw_names(spark, sf), f"{path}/public", f"{path}/private").items()
+    return spark.createDataFrame(rows, "step string, n long")
+
+
 # Extraction
 
 
@@ -308,12 +352,12 @@ def extract_counters(spark, sf):
 
 def quarantine(spark, sf):
     log = extract.extract(fx.page_table(spark, sf), SLIP_READER)
-    return extract.quarantine(log).drop("error")
+    return extract.quarantine(log).drop("error", *extract.PAGE_KEY)
 
 
 def parse_responses(spark, sf):
     log = extract.explode_records(extract.with_status(fx.line_pages(spark, sf)))
-    return log.drop("route", "error", "response")
+    return log.drop("route", "error", "response", *extract.PAGE_KEY)
 
 
 def verify_merge(spark, sf):
@@ -334,6 +378,31 @@ def stream_extract(spark, sf):
     return extract.records_of(read_log(spark, f"{base}/log")).drop("line_no")
 
 
+def run_extraction(spark, sf):
+    """A run while the reader is down, then one that reads every page still open."""
+    def down(_client, _page):
+        raise RuntimeError("no service")
+
+    path = scratch_path(spark, "log")
+    pages = fx.page_table(spark, sf)
+    extract.run_extraction(spark, pages, path, replace(SLIP_READER, read_text=down, read_image=down))
+    log = extract.run_extraction(spark, pages, path, SLIP_READER)
+    return extract.records_of(log).drop("line_no")
+
+
+def stream_restart(spark, sf):
+    """Half of the pages as a stream, then all of them under a new checkpoint: one log, each page once."""
+    base = scratch_path(spark, "restart")
+    pages = fx.page_table(spark, sf)
+    half = F.pmod(F.xxhash64("path", "page_index"), F.lit(2))
+    for n in (0, 1):
+        pages.filter(half == n).write.mode("append").parquet(f"{base}/pages")
+        stream_extraction(
+            spark, f"{base}/pages", f"{base}/log", f"{base}/checkpoint-{n}", SLIP_READER
+        ).awaitTermination()
+    return extract.records_of(read_log(spark, f"{base}/log")).drop("line_no")
+
+
 def page_source(spark, sf):
     """Pages written as a table and read back through the range filter."""
     path = scratch_path(spark, "pages")
@@ -371,6 +440,14 @@ def anonymize_audit(spark, sf):
     return audits.audit(lines, spark.read.parquet(f"{path}/lines"), identities, SCRUB)
 
 
+def anonymize_job(spark, sf):
+    """The whole job; revenue by month of the CSV it leaves is that of the source."""
+    path = scratch_path(spark, "job")
+    anon.anonymize(fx.order_lines_raw(spark, sf), f"{path}/public", f"{path}/private", SCRUB)
+    silver = typed.silver_lines(read_order_lines(spark, f"{path}/public"))
+    return reports.revenue_by_month(orders.order_level(silver))
+
+
 def source_quality(spark, sf):
     return audits.source_quality(fx.raw_names(spark, sf))
 
@@ -416,6 +493,8 @@ QUERIES = {
     "store_append": store_append,
     "store_update": store_update,
     "store_delete": store_delete,
+    "store_reload": store_reload,
+    "import_counters": import_counters,
     "text_sufficiency": text_sufficiency,
     "page_routing": page_routing,
     "page_range": page_range,
@@ -426,7 +505,10 @@ QUERIES = {
     "parse_responses": parse_responses,
     "verify_merge": verify_merge,
     "stream_extract": stream_extract,
+    "run_extraction": run_extraction,
+    "stream_restart": stream_restart,
     "anonymize_rules": anonymize_rules,
     "anonymize_audit": anonymize_audit,
+    "anonymize_job": anonymize_job,
     "source_quality": source_quality,
 }

@@ -2,22 +2,29 @@
 
     anonymize IN.csv OUT_DIR PRIVATE_DIR [--scrub TOKENS]
     build     IN.csv STORE
+    extract   PAGES LOG READER [--parallelism N] [--images PATTERN]
+    export    STORE OUT_DIR
     report    STORE TABLES_DIR [NAME ...]
     search    STORE QUERY [--limit N] [--literal]
+
+READER names an object of the caller's, as ``package.module:NAME``. ``report``
+writes each report as a table beside the two it rests on.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from orderlake.functions.text import split_tokens
 from orderlake.operators.projection import browse, rename_to_display
-from orderlake.operators.search import search_ranked
 from orderlake.plans.anonymize import anonymize
+from orderlake.plans.extract import run_counters, run_extraction
 from orderlake.plans.tables import all_reports, build_tables
 from orderlake.schema import INGEST_KEY
 from orderlake.session import build_session
-from orderlake.sources.csv_lines import read_order_lines
+from orderlake.sources.csv_lines import read_order_lines, write_order_lines
+from orderlake.sources.pages import read_page_files, read_pages
 from orderlake.sources.record_store import RecordStore
 
 
@@ -37,6 +44,15 @@ def main(argv: list[str] | None = None) -> None:
     job = jobs.add_parser("build")
     job.add_argument("source")
     job.add_argument("store")
+    job = jobs.add_parser("extract")
+    job.add_argument("pages")
+    job.add_argument("log")
+    job.add_argument("reader")
+    job.add_argument("--parallelism", type=int)
+    job.add_argument("--images", help="the folder holds image files of this pattern")
+    job = jobs.add_parser("export")
+    job.add_argument("store")
+    job.add_argument("public")
     job = jobs.add_parser("report")
     job.add_argument("store")
     job.add_argument("tables")
@@ -51,19 +67,32 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(f"orderlake-{args.job}")
     if args.job == "anonymize":
         lines = read_order_lines(spark, args.source)
-        anonymize(lines, args.public, args.private, split_tokens(args.scrub))
+        print(anonymize(lines, args.public, args.private, split_tokens(args.scrub)))
     elif args.job == "build":
-        RecordStore(spark, args.store).rebuild(read_order_lines(spark, args.source))
+        print("records:", RecordStore(spark, args.store).rebuild(read_order_lines(spark, args.source)))
+    elif args.job == "extract":
+        module, _, name = args.reader.partition(":")
+        reader = getattr(importlib.import_module(module), name)
+        if args.images:
+            pages = read_page_files(spark, args.pages, args.images)
+        else:
+            pages = read_pages(spark, args.pages)
+        log = run_extraction(spark, pages, args.log, reader, args.parallelism)
+        for row in run_counters(log).orderBy("route", "status").collect():  # a row an outcome
+            print(*(f"{k}: {v}" for k, v in row.asDict().items()), sep=", ")
+    elif args.job == "export":
+        write_order_lines(_displayed(RecordStore(spark, args.store)), args.public)
     elif args.job == "report":
         lines = _displayed(RecordStore(spark, args.store))
         made = all_reports(*build_tables(lines, args.tables))
         for name in args.names or made:
-            print(name)
-            made[name].show(truncate=False)
+            path = f"{args.tables.rstrip('/')}/{name}"
+            made[name].write.mode("overwrite").parquet(path)
+            print(name, "->", path)
     else:
-        lines = _displayed(RecordStore(spark, args.store))
         mode = "literal" if args.literal else "regex"
-        browse(search_ranked(lines, args.query, args.limit, mode)).show(args.limit, truncate=False)
+        found = RecordStore(spark, args.store).search(args.query, args.limit, mode)
+        browse(found).show(args.limit, truncate=False)
 
 
 if __name__ == "__main__":

@@ -67,23 +67,17 @@ UNEVEN_NAME_SQL = (
 )
 
 # How each slip of the page table is made, by order key.
-PAGE_PATH_SQL = "concat('inbox/', cast(l_orderkey % 40 as string), '/', Ingest_Key, '.pdf')"
+# Scanners number their files anew in each folder, so base names repeat.
+PAGE_PATH_SQL = "concat('inbox/', Ingest_Key, '/scan_', cast(l_orderkey % 40 as string), '.pdf')"
 NO_IMAGE, PROSE, EMPTY_ARRAY = "l_orderkey % 41 = 0", "l_orderkey % 43 = 0", "l_orderkey % 47 = 0"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *spread: str) -> DataFrame:
-    """A source table. One of fewer files than there are cores is spread by the
-    given columns, or all later work would run in the few tasks that read it; a
-    table of many files is left as it lies, without a shuffle."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and len(df._jdf.inputFiles()) < cores:
-        return df.repartition(cores, *spread)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     parts = table(spark, sf_dir, "part")
@@ -140,7 +134,7 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("text"),
         F.when(~F.expr(NO_IMAGE), F.encode("slip", "utf-8")).alias("content"),
     )
-    documents = table(spark, sf_dir, "documents", "doc_id").select(
+    documents = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("inbox/documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.lit(0).alias("page_index"),
         "text",
@@ -170,6 +164,8 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("["), record, F.lit(", "), bare, F.lit("]")))
     )
     return lines.select(
+        F.expr(PAGE_PATH_SQL).alias("path"),
+        (F.col("l_linenumber") - 1).cast("int").alias("page_index"),
         base_name(F.expr(PAGE_PATH_SQL)).alias("Source_File"),
         "Source_Page",
         F.lit("image").alias("route"),
@@ -180,7 +176,7 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verification response for each first line, with planted faults."""
-    lines = order_lines_raw(spark, sf_dir, "l_orderkey", "l_partkey")
+    lines = order_lines_raw(spark, sf_dir, "l_orderkey", "l_partkey", "l_linenumber")
     plant = F.col("l_partkey") % 7
     name = (
         F.when(plant == 0, F.lit("X"))
@@ -200,8 +196,8 @@ def verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(answer)
     )
     return lines.select(
-        base_name(F.expr(PAGE_PATH_SQL)).alias("Source_File"),
-        "Source_Page",
+        F.expr(PAGE_PATH_SQL).alias("path"),
+        (F.col("l_linenumber") - 1).cast("int").alias("page_index"),
         F.lit(0).alias("line_no"),
         response.alias("response"),
     )

@@ -14,10 +14,10 @@ from orderlake.schema import MONEY
 # Signed decimal with an optional exponent, in plain spaces. Keeps out currency
 # signs, thousands separators, type suffixes, "nan" and "inf", some of which a
 # cast would accept.
-NUMBER = r"^[\t-\r ]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[\t-\r ]*$"
+NUMBER = r"^[\t-\r ]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[\t-\r ]*\z"
 
 # An order number that is clean already; most are, and short enough to be exact.
-CLEAN_NUMBER = "^[1-9][0-9]{0,14}$"
+CLEAN_NUMBER = r"^[1-9][0-9]{0,14}\z"
 
 
 def to_money(c: Column) -> Column:
@@ -28,7 +28,7 @@ def to_money(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Finite double, NULL where the text is not a number."""
     value = F.when(c.rlike(NUMBER), c).try_cast("double")
-    return F.nullif(value, F.lit(float("inf")))
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def to_date(c: Column, formats: Sequence[str] = ("M/d/yyyy",)) -> Column:

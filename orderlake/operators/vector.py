@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,11 +14,10 @@ from pyspark.sql import types as T
 
 from orderlake.operators.topk import top_n_per_group
 
-# A task holds the query matrix and k rows a query; larger sets go in several calls.
-MAX_QUERY_VALUES = 4_000_000
-
+# Queries held by the driver and by a task at a time; more go in further passes.
+QUERY_BLOCK = 1024
 # Queries scored at a time, to bound the score matrix of a batch.
-QUERY_BLOCK = 256
+SCORE_BLOCK = 256
 
 
 def _merge(best: tuple, scores: np.ndarray, row_ids: np.ndarray, k: int) -> tuple:
@@ -33,32 +34,8 @@ def _merge(best: tuple, scores: np.ndarray, row_ids: np.ndarray, k: int) -> tupl
     return scores[first], row_ids[first]
 
 
-def vector_topk(
-    vectors: DataFrame,
-    queries: Mapping[int, Sequence[float]],
-    k: int,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-) -> DataFrame:
-    """For each query vector the ``k`` rows of highest cosine similarity.
-
-    Returns ``query_id, rank, <id_col>, score``; ties go to the smaller id.
-    Scores come from matrix products over Arrow batches. A task keeps only its
-    best k a query and gives them out once at its end, so what is shuffled
-    depends on tasks and queries, not on rows, and rows are never paired with
-    queries in the plan. Vectors of length zero or NULL have no direction and
-    are not ranked.
-    """
-    if not queries:
-        raise ValueError("no query vectors")
-    ids = np.array(list(queries), dtype=np.int64)
-    matrix = np.array([queries[i] for i in queries], dtype=np.float64)
-    if matrix.size > MAX_QUERY_VALUES:
-        raise ValueError("too many query values for one call; split the queries")
-    lengths = np.linalg.norm(matrix, axis=1)
-    if not np.all(lengths > 0):
-        raise ValueError("a query vector has length zero")
-    unit = (matrix / lengths[:, None]).T
+def _best(vectors: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """The best k of every task for a block of queries (columns of ``unit``)."""
 
     def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
@@ -66,13 +43,15 @@ def vector_topk(
             batch = batch[batch[vector_col].notna()]
             if batch.empty:
                 continue
+            if {len(v) for v in batch[vector_col]} != {len(unit)}:
+                raise ValueError("vectors and queries differ in length")
             rows = np.stack(batch[vector_col].to_numpy()).astype(np.float64)
             norms = np.linalg.norm(rows, axis=1)
             usable = norms > 0
             rows = rows[usable] / norms[usable, None]
             row_ids = batch[id_col].to_numpy(dtype=np.int64)[usable]
-            for start in range(0, len(ids), QUERY_BLOCK):
-                block = rows @ unit[:, start:start + QUERY_BLOCK]
+            for start in range(0, len(ids), SCORE_BLOCK):
+                block = rows @ unit[:, start:start + SCORE_BLOCK]
                 for offset in range(block.shape[1]):
                     q = start + offset
                     best[q] = _merge(best[q], block[:, offset], row_ids, k)
@@ -84,29 +63,63 @@ def vector_topk(
         T.StructField(id_col, T.LongType()),
         T.StructField("score", T.DoubleType()),
     ])
-    candidates = vectors.select(id_col, vector_col).mapInPandas(best_of_task, schema)
+    return vectors.select(id_col, vector_col).mapInPandas(best_of_task, schema)
+
+
+def vector_topk(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
+    """For each query (``query_id, vector``) the ``k`` rows of highest cosine similarity.
+
+    Returns ``query_id, rank, <id_col>, score``; ties go to the smaller id.
+    Queries are fetched a block at a time, and each block is a pass over the
+    vectors. Scores come from matrix products over Arrow batches. A task keeps
+    only its best k a query and gives them out once at its end, so what is
+    shuffled depends on tasks and queries, not on rows, and rows are never
+    paired with queries in the plan. Vectors of length zero or NULL have no
+    direction and are not ranked; a query without direction is an error, and so
+    are vectors of different lengths.
+    """
+    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
+    rows, passes = asked.toLocalIterator(), []
+    while block := list(islice(rows, QUERY_BLOCK)):
+        if len({len(r["vector"]) for r in block}) != 1:
+            raise ValueError("query vectors differ in length")
+        matrix = np.array([r["vector"] for r in block], dtype=np.float64)
+        lengths = np.linalg.norm(matrix, axis=1)
+        if not np.all(lengths > 0):
+            raise ValueError("a query vector has length zero")
+        ids = np.array([r["query_id"] for r in block], dtype=np.int64)
+        passes.append(_best(vectors, ids, (matrix / lengths[:, None]).T, k, id_col, vector_col))
+    if not passes:
+        raise ValueError("no query vectors")
+    candidates = reduce(DataFrame.unionByName, passes)
     ranked = top_n_per_group(candidates, ["query_id"], [F.desc("score"), id_col], k, "rank")
     return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), id_col, "score")
 
 
 def group_centroids(
-    vectors: DataFrame,
-    group_col: str = "label",
-    vector_col: str = "embedding",
-    dimensions: int = 64,
-    max_groups: int = 1000,
-) -> dict[int, list[float]]:
-    """Mean vector of each group, as query vectors for ``vector_topk``.
+    vectors: DataFrame, group_col: str = "label", vector_col: str = "embedding"
+) -> DataFrame:
+    """Mean vector of each group, as queries for ``vector_topk``: ``query_id, vector``.
 
-    Only the means reach the driver; more than ``max_groups`` groups is an error.
+    All positions of the vectors count; vectors of a group must agree in length.
     """
-    means = (
-        vectors.filter(F.col(vector_col).isNotNull())
-        .groupBy(group_col)
-        .agg(F.array(*[F.avg(F.col(vector_col)[i]) for i in range(dimensions)]).alias("mean"))
-        .limit(max_groups + 1)
-        .collect()
+    places = vectors.filter(F.col(vector_col).isNotNull()).select(
+        group_col, F.size(vector_col).alias("_size"), F.posexplode(vector_col).alias("_place", "_value")
+    )
+    means = places.groupBy(group_col, "_place").agg(
+        F.avg(F.col("_value").cast("double")).alias("_mean"),
+        F.min("_size").alias("_least"),
+        F.max("_size").alias("_most"),
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_mean"))), lambda p: p["_mean"])
+    same = F.min("_least") == F.max("_most")
+    refused = F.raise_error("vectors of a group differ in length").cast("array<double>")
+    return means.groupBy(F.col(group_col).alias("query_id")).agg(
+        F.when(same, ordered).otherwise(refused).alias("vector")
     )
-    if len(means) > max_groups:
-        raise ValueError(f"more than {max_groups} groups")
-    return {row[group_col]: row["mean"] for row in means}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,16 +34,10 @@ def build_session(app_name: str = "orderlake", master: str | None = None, **conf
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only where that setting is absent and the
-    session itself is local, as in tests.
-    """
+    """A fresh path under the shared folder named by ``spark.checkpoint.dir``."""
     base = _setting(spark, "spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{base.rstrip('/')}/orderlake-{purpose}-{uuid.uuid4().hex}"
 
 

@@ -120,3 +120,9 @@ def test_sufficient_text(column):
     }
     got = column(list(cases), lambda df: has_sufficient_text(F.col("c")))
     assert dict(zip(cases, got)) == cases
+
+
+def test_numbers_are_whole_and_finite(column):
+    got = column(["123\n", "-1e400", "1e400", "-5", "7 "], lambda df: to_number(df.c))
+    assert got == [123.0, None, None, -5.0, 7.0]
+    assert column(["123\n", "123", "1\n2"], lambda df: clean_order_number(df.c)) == ["123", "123", ""]

@@ -1,5 +1,7 @@
 import orderlake.__main__ as jobs
 from orderlake.schema import ORDER_LINE_COLUMNS
+from orderlake.schema import PAGE_SCHEMA
+from orderlake.sources.csv_lines import read_order_lines
 from orderlake.sources.record_store import RecordStore
 
 
@@ -26,8 +28,29 @@ def test_from_csv_to_reports(spark, folder, tmp_path, monkeypatch, capsys):
     assert "ann" not in " ".join(r["customer_name"] for r in stored).lower().split()
 
     jobs.main(["report", f"{folder}/store", f"{folder}/tables", "kpis", "orders_by_state"])
-    shown = capsys.readouterr().out
-    assert "|1     |2         |1      |10.5   |" in shown and "|OR            |1     |" in shown
+    assert "kpis ->" in capsys.readouterr().out
+    kpis = spark.read.parquet(f"{folder}/tables/kpis").first()
+    assert (kpis["orders"], kpis["line_items"], kpis["members"], float(kpis["revenue"])) == (1, 2, 1, 10.5)
+    assert [tuple(r) for r in spark.read.parquet(f"{folder}/tables/orders_by_state").collect()] == [("OR", 1)]
+    jobs.main(["export", f"{folder}/store", f"{folder}/exported"])
+    assert read_order_lines(spark, f"{folder}/exported").count() == 2
     jobs.main(["search", f"{folder}/store", "gumm", "--literal"])
     shown = capsys.readouterr().out
     assert "GUMM-3" in shown and "SAMP" not in shown
+
+
+def test_extract_job(spark, folder, monkeypatch, capsys):
+    monkeypatch.setattr(jobs, "build_session", lambda _name: spark)
+    text = "order customer total product quantity price email date and more words\nOrder Number: 4"
+    spark.createDataFrame([("in/a.pdf", 0, text, None)], PAGE_SCHEMA).write.parquet(f"{folder}/pages")
+    jobs.main(["extract", f"{folder}/pages", f"{folder}/log", "checks.slip_reader:SLIP_READER"])
+    assert "route: text, status: ok, pages: 1, records: 1" in capsys.readouterr().out
+
+
+def test_reports_are_written_whole(spark, folder):
+    """No report is cut: revenue by month has all 80 months."""
+    from checks.queries import revenue_by_month
+    from tests.conftest import SF_DIR
+
+    revenue_by_month(spark, SF_DIR).write.parquet(f"{folder}/months")
+    assert spark.read.parquet(f"{folder}/months").count() == 80

@@ -111,7 +111,10 @@ def test_top_n_of_a_hot_group(spark, n):
     assert got.groupBy("g").count().agg(F.max("count")).first()[0] == n
 
 
-def test_vector_topk_against_brute_force(spark):
+QUERY = "query_id long, vector array<double>"
+
+
+def test_vector_topk_against_brute_force(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -121,7 +124,12 @@ def test_vector_topk_against_brute_force(spark):
     queries = {1: rng.normal(size=8).tolist(), 2: data[20].tolist()}
     rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(999, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
-    got = vector.vector_topk(df, queries, 5).collect()
+    asked = spark.createDataFrame(list(queries.items()), QUERY)
+    got = vector.vector_topk(df, asked, 5).collect()
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 1)
+    again = vector.vector_topk(df, asked, 5).collect()
+    ranks = lambda rows: sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in rows)
+    assert ranks(again) == ranks(got)
     for q, vec in queries.items():
         norms = np.linalg.norm(data, axis=1)
         score = np.where(norms > 0, data @ vec / np.where(norms > 0, norms, 1) / np.linalg.norm(vec), -9)
@@ -132,9 +140,11 @@ def test_vector_topk_against_brute_force(spark):
         else:
             assert {i for _, i in mine} <= set(range(20, 30))
     with pytest.raises(ValueError):
-        vector.vector_topk(df, {1: [0.0] * 8}, 5)
+        vector.vector_topk(df, spark.createDataFrame([(1, [0.0] * 8)], QUERY), 5)
     with pytest.raises(ValueError):
-        vector.vector_topk(df, {}, 5)
+        vector.vector_topk(df, asked.where("false"), 5)
+    with pytest.raises(Exception, match="differ in length"):
+        vector.vector_topk(df, spark.createDataFrame([(1, [1.0] * 7)], QUERY), 5).collect()
 
 
 def test_updates_collapse(spark):
@@ -152,6 +162,10 @@ def test_updates_collapse(spark):
     assert got["b"]["order_number"] == "2.0" and got["b"]["updated_at"] is None
     with pytest.raises(ValueError):
         mutate.apply_updates(records, updates.withColumnRenamed("Email", "Mail"), "seq")
+    with pytest.raises(Exception, match="need a sequence"):
+        mutate.apply_updates(records, updates.drop("seq")).collect()
+    once = mutate.apply_updates(records, updates.where("seq = 1").drop("seq")).collect()
+    assert {r["id"]: r["order_number"] for r in once} == {"a": "3", "b": "2.0"}
 
 
 def test_conform_twice(lines):
@@ -166,15 +180,19 @@ def test_vector_topk_keeps_ties_by_id(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = vector.vector_topk(df, {5: [2.0, 0.0]}, 4).orderBy("rank").collect()
+        got = vector.vector_topk(df, spark.createDataFrame([(5, [2.0, 0.0])], QUERY), 4).orderBy("rank").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [
         (1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
 
 
-def test_centroid_limit(spark):
-    df = spark.createDataFrame([(1, 1, [1.0]), (2, 2, [3.0])], "vec_id long, label int, embedding array<double>")
-    assert vector.group_centroids(df, dimensions=1) == {1: [1.0], 2: [3.0]}
-    with pytest.raises(ValueError):
-        vector.group_centroids(df, dimensions=1, max_groups=1)
+@pytest.mark.parametrize("width", [1, 32, 128])
+def test_centroids_of_any_length(spark, width):
+    rows = [(1, 1, [1.0] * width), (2, 2, [3.0] * width), (3, 2, [5.0] * (width - 1) + [7.0]), (4, 2, None)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    means = {r["query_id"]: r["vector"] for r in vector.group_centroids(df).collect()}
+    assert means == {1: [1.0] * width, 2: [4.0] * (width - 1) + [5.0]}
+    assert vector.vector_topk(df, vector.group_centroids(df), 2).count() == 4
+    with pytest.raises(Exception, match="differ in length"):
+        vector.group_centroids(df.union(spark.createDataFrame([(9, 2, [1.0] * (width + 1))], df.schema))).collect()

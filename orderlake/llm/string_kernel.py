@@ -17,8 +17,8 @@ sentences of the others as harmless.
 The fit runs on a bounded sample (``SAMPLE_EACH`` documents of either label, of at most
 ``SAMPLE_BYTES``), the scoring on all texts. Texts without a unit score as the weakest
 unit does. Equal rows score alike; null labels are left out; without documents of both
-labels every text scores the share of label 1. An added column that is there already is
-refused.
+labels every text scores the share of label 1. A column named ``score`` gives way to the
+new one.
 """
 
 from __future__ import annotations
@@ -34,15 +34,16 @@ from pyspark.sql import types as T
 
 from orderlake.llm.arrow_text import Words, flat, slices
 from orderlake.llm.labelled import labelled_sample
-from orderlake.llm.schema import added
+from orderlake.llm.schema import added, without
 
 LAMBDA, MAX_SPAN = 0.6, 6
-SAMPLE_EACH = 2000
+SAMPLE_EACH = 1200
 SAMPLE_BYTES = 1 << 16
 LANDMARKS = 96  # for each label
 ROUNDS, C = 3, 4.0
 FLOOR = -1.5  # values below it count as it
 MIN_DOCS = 3
+PART = 20_000  # strings whose subsequences are held at a time
 
 LETTERS = 64
 
@@ -159,10 +160,12 @@ class Model(NamedTuple):
 
     def values(self, strings: list[bytes]) -> np.ndarray:
         """The SVM's value of each string, or FLOOR where it is below."""
+        parts = [self._values(strings[i : i + PART]) for i in range(0, len(strings), PART)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def _values(self, strings: list[bytes]) -> np.ndarray:
         n = len(strings)
         out = np.full(n, FLOOR)
-        if not n:
-            return out
         u = units(strings)
         raw, least = np.zeros(n), np.zeros(n)
         for owner, sub, w in subsequences(u):
@@ -210,12 +213,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
+def sample_units(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """Different strings of the sample, and (text, string) for each text that holds one, in the order of texts."""
+    number: dict[bytes, int] = {}
+    rows, strings = [], []
+    for i in range(0, len(texts), 100):
+        some, string, row = document_units(Words(*flat(pa.array(texts[i : i + 100], pa.string()))))
+        known = np.array([number.setdefault(s.lower(), len(number)) for s in some], np.int64)
+        rows.append(row + i)
+        strings.append(known[string] if len(string) else string)
+    return list(number), np.unique(np.stack([np.concatenate(rows), np.concatenate(strings)]), axis=1)
+
+
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     """Landmarks, Nyström features and the SVM, from labelled texts."""
-    data, at = flat(pa.array(texts, pa.string()))
-    strings, string, row = document_units(Words(data, at))
-    strings = [s.lower() for s in strings]
-    seen = np.unique(np.stack([row, string]), axis=1)
+    strings, seen = sample_units(texts)
     toxic = y[seen[0]] == 1
     in_toxic = np.bincount(seen[1][toxic], minlength=len(strings))
     in_clean = np.bincount(seen[1][~toxic], minlength=len(strings))
@@ -261,7 +273,9 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
             plus, times = plus[fine], times[fine]
         minus = np.setdiff1d(np.concatenate([pool, hard]), plus)
         rows = np.concatenate([plus, minus])
-        x = kernel([strings[i] for i in rows], landmarks) @ root
+        x = np.concatenate([
+            kernel([strings[i] for i in rows[k : k + 2000]], landmarks) for k in range(0, len(rows), 2000)
+        ]) @ root
         target = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
         importance = np.concatenate([np.sqrt(times), 1 + 0.2 * np.log1p(in_clean[minus])])
         w, offset = _hinge(x, target, importance)
@@ -307,6 +321,7 @@ def text_values(texts: pa.Array, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model | float, keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` from 0 to 1; ``keep`` names the columns that pass through (all by default)."""
+    docs = without(docs, ["score"])
     columns = docs.columns
     kept = columns if keep is None else keep
     schema = added(docs.select(kept), [T.StructField("score", T.DoubleType())])

@@ -37,10 +37,10 @@ class Band(NamedTuple):
 
 #: By ``lang`` first, then by script; "other" holds for the rest.
 BANDS = {
-    "en": Band(1.88, 5.0, 0.10, 5.0),
-    "de": Band(1.90, 5.0, 0.10, 5.0),
-    "fr": Band(1.62, 5.0, 0.10, 5.0),
-    "es": Band(1.74, 5.0, 0.10, 5.0),
+    "en": Band(1.80, 5.0, 0.10, 5.0),
+    "de": Band(1.80, 5.0, 0.10, 5.0),
+    "fr": Band(1.60, 5.0, 0.10, 5.0),
+    "es": Band(1.70, 5.0, 0.10, 5.0),
     "latin": Band(1.55, 6.0, 0.10, 3.0),
     "greek": Band(0.6, 4.0, 0.50, 3.0),
     "cyrillic": Band(1.0, 5.0, 0.20, 3.0),

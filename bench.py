@@ -13,6 +13,7 @@ import tempfile
 import time
 
 from checks.queries import QUERIES
+from orderlake import fixtures
 from orderlake.session import build_session
 
 HEADLINE = [
@@ -27,6 +28,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    fixtures.SPREAD = int(cpus)  # the tables are one file of one row group each
     spark = build_session(
         "bench",
         f"local[{cpus}]",

@@ -221,7 +221,8 @@ select rule as "check", n as checked, true as passed from (
   union all select 'no_real_email_left', emails from counts
   union all select 'zip_area_only', lines from counts
   union all select 'line2_blank', lines from counts
-  union all select 'other_columns_kept', lines from counts)"""
+  union all select 'other_columns_kept', lines from counts
+  union all select 'first_lines_kept', count(distinct nullif(Order_Number, '')) from names)"""
 
 
 def _scrubbed(c: str) -> str:

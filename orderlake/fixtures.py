@@ -72,12 +72,17 @@ PAGE_PATH_SQL = "concat('inbox/', Ingest_Key, '/scan_', cast(l_orderkey % 40 as
 NO_IMAGE, PROSE, EMPTY_ARRAY = "l_orderkey % 41 = 0", "l_orderkey % 43 = 0", "l_orderkey % 47 = 0"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Partitions that a trial run spreads the large tables over; None leaves them as they lie.
+SPREAD: int | None = None
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *spread: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(SPREAD, *spread) if SPREAD and spread else df
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     parts = table(spark, sf_dir, "part")
@@ -134,7 +139,7 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("text"),
         F.when(~F.expr(NO_IMAGE), F.encode("slip", "utf-8")).alias("content"),
     )
-    documents = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents", "doc_id").select(
         F.concat(F.lit("inbox/documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.lit(0).alias("page_index"),
         "text",

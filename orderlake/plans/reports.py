@@ -6,6 +6,8 @@ once and pass the written table when several reports are wanted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,18 +134,29 @@ def orders_by_state(orders: DataFrame) -> DataFrame:
 def summary_stats(lines: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy",)) -> DataFrame:
     """Record, order and customer counts and the date range, in one row.
 
-    The range is given over the parsed dates, and over the text as stored.
+    The range is given over the parsed dates, and over the text as stored. Each
+    figure is aggregated by hash to its different values first; only those, few
+    beside the lines, are parsed and compared as text.
     """
-    date = to_date(F.col("Date"), date_formats)
-    return lines.agg(
-        _count().alias("total_records"),
-        F.countDistinct(F.nullif("Order_Number", F.lit(""))).alias("unique_orders"),
-        F.countDistinct("Customer_Name").alias("unique_customers"),
-        F.min(date).alias("earliest"),
-        F.max(date).alias("latest"),
+    dates = lines.groupBy("Date").agg(_count().alias("n")).withColumn("day", to_date(F.col("Date"), date_formats))
+    ranges = dates.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
+        F.min("day").alias("earliest"),
+        F.max("day").alias("latest"),
         F.min("Date").alias("earliest_text"),
         F.max("Date").alias("latest_text"),
     )
+    order = lines.select(F.nullif("Order_Number", F.lit("")).alias("v")).distinct()
+    customer = lines.select(F.col("Customer_Name").alias("v")).distinct()
+    parts = [
+        ranges,
+        order.agg(F.count("v").alias("unique_orders")),
+        customer.agg(F.count("v").alias("unique_customers")),
+    ]
+    # One row each; a maximum puts them side by side.
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    columns = ["total_records", "unique_orders", "unique_customers", *ranges.columns[1:]]
+    return rows.agg(*[F.max(c).alias(c) for c in columns])
 
 
 def summary_top_products(lines: DataFrame, n: int = 5) -> DataFrame:

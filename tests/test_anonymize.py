@@ -106,7 +106,7 @@ def test_audit_finds_faults(spark):
     assert "no_real_name_left" in failed(good.withColumn("Customer_Name", F.lit("ann")))
     assert failed(good.withColumn("Shipping_Zip", F.lit("9721"))) == {"zip_area_only"}
     assert failed(good.withColumn("Shipping_Address_Line2", F.lit("x"))) == {"line2_blank"}
-    assert failed(good.withColumn("Total_Amount", F.lit("1"))) == {"other_columns_kept"}
+    assert failed(good.withColumn("Total_Amount", F.lit("1"))) == {"other_columns_kept", "first_lines_kept"}
     assert "lines_and_orders_kept" in failed(good.limit(1))
 
 

@@ -1,4 +1,7 @@
-"""SQL twins of the queries that SQL can express over whole tables."""
+"""SQL twins of the queries that SQL can express over whole tables.
+
+SQL for op5 takes minutes at a few megabytes of text; tests hold it against brute force instead.
+"""
 
 ORACLES: dict[str, str] = {}
 
@@ -67,3 +70,50 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
 """
+
+_REACH = """edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, root) AS (
+  SELECT id, id FROM nodes UNION SELECT b, root FROM reach JOIN edges ON a = node WHERE root < b
+), roots AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+)"""
+
+ORACLES["op6_bottom_k_near_dedup"] = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM texts WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)
+), nodes AS (
+  SELECT doc_id AS id FROM documents
+), {_REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM roots JOIN texts ON doc_id = node LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLES["op7_tiled_vector_dedup"] = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), nodes AS (
+  SELECT vec_id AS id FROM embeddings
+), {_REACH}, degree AS (
+  SELECT a, count(*) AS n FROM edges GROUP BY a
+)
+SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component_id AS kept
+FROM roots LEFT JOIN degree ON a = node
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import replace
 
@@ -31,7 +32,7 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     try:
         return session.scratch_path(spark, purpose)
     except RuntimeError:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise
         return f"{tempfile.mkdtemp(prefix='orderlake-checks-')}/{purpose}"
 

@@ -198,7 +198,10 @@ def predict(model: Model, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int = SAMPLE_EACH) -> Model | float:
     """A model from a bounded sample of the labelled documents, or the share of label 1 if one label is missing."""
     rows, counts = labelled_sample(docs, labels, label, each, SAMPLE_BYTES)
-    x, bounds = encode_passages(pa.array([r[1] for r in rows], pa.string()))
+    parts = [encode_passages(pa.array([r[1] for r in rows[i : i + 100]], pa.string())) for i in range(0, len(rows), 100)]
+    x = np.concatenate([np.zeros((0, FEATURES), np.float32), *(p[0] for p in parts)])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(p[1]) for p in parts)]))])
+    del parts
     full = np.flatnonzero(np.diff(bounds))
     y = np.array([r[2] for r in rows], np.float32)[full]
     if len(set(y.tolist())) < 2:

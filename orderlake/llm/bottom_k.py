@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     hot = written(hot.join(hot_lengths, "value"), "hot")
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("doc_id")).distinct()
-    shingles = written(full_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "shingles")
+    # Texts go through the shuffle at any size, so that what a run moves grows as its input does.
+    shingles = written(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "shingles")
     for side in ("a", "b"):
         pairs = pairs.join(shingles.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     both = F.size(F.array_intersect("s_a", "s_b"))

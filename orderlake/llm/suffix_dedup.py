@@ -40,7 +40,7 @@ from orderlake.llm.suffix_array import equal_prefixes, suffix_array
 
 WINDOW = 50
 LAST = np.iinfo(np.int64).max
-PART = 2 << 20
+PART = 1 << 20
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _FIELDS = [

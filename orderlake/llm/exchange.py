@@ -149,11 +149,15 @@ class FirstDocs:
 
     def smaller(self, answers: dict[int, bytes]) -> np.ndarray:
         """For each key as given: whether a document of another chunk has it and a smaller id than all here."""
+        return self.smaller_keys(answers)[self.which]
+
+    def smaller_keys(self, answers: dict[int, bytes]) -> np.ndarray:
+        """The same for each of ``keys``."""
         out = np.zeros(len(self.keys), bool)
         for b, (x, y) in enumerate(zip(self.edges, self.edges[1:])):
             if y > x:
                 out[x:y] = from_bits(answers[b], y - x)
-        return out[self.which]
+        return out
 
 
 def smaller_elsewhere(keys: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
@@ -162,7 +166,7 @@ def smaller_elsewhere(keys: list[np.ndarray], docs: list[np.ndarray]) -> list[np
     every, doc = np.concatenate(keys), np.concatenate(docs)
     order = np.lexsort((doc, every))
     k = every[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
+    new = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
     least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.empty(len(every), bool)
     out[order] = least < doc[order]

@@ -6,7 +6,10 @@ out by content. Every window of ``window`` bytes is given to the smallest hash a
 they stand. Neighbouring windows with the same sample form one segment.
 
 1. Samples are sorted and named in buckets; a sample that only one document holds leads
-   to no repeat and its segments are done.
+   to no repeat and its segments are done. A sample whose segments may hold more than
+   ``sort_bytes`` (a phrase of very many documents) is crowded: its segments are not kept
+   together, but each of their windows goes by its own hash to a bucket, which tells
+   whether a smaller document has it.
 2. Whole segments are named in turn, and the document that holds each first. A segment
    that a smaller document holds too is a repeat from end to end.
 3. What remains are segments that share a sample with another segment but differ from
@@ -26,6 +29,8 @@ column, or is named ``chunk``, gives way to it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +46,7 @@ from orderlake.llm.suffix_array import equal_prefixes, suffix_array
 WINDOW = 50
 LAST = np.iinfo(np.int64).max
 PART = 1 << 20
+SORT_BYTES = 4 << 20
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _FIELDS = [
@@ -121,6 +127,18 @@ class Chunk:
         """Hashes of whole segments."""
         return self._hash(self.start[which], self.stop[which] + self.window - 1)
 
+    def windows(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, hash, document) of all windows of segments, some documents at a time; the segments ascend."""
+        for low, high in self._parts():
+            a, b = np.searchsorted(self.start[which], [low, high])
+            if a == b:
+                continue
+            some = which[a:b]
+            size = self.stop[some] - self.start[some]
+            place = np.repeat(self.start[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            value = rolling(_BYTE[self.data[low:high]], self.window)[place - low]
+            yield place, value, np.repeat(self.doc[some], size)
+
 
 class Samples:
     """The different samples of a chunk, and whether two documents hold them."""
@@ -135,6 +153,33 @@ class Samples:
             self.several = np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)
         else:
             self.several = np.zeros(0, bool)
+        self.size = np.bincount(self.which, chunk.stop - chunk.start + chunk.window - 1, len(self.code)).astype(np.int64)
+
+
+class Windows:
+    """The different windows of a chunk's crowded segments, with their smallest documents."""
+
+    def __init__(self, chunk: Chunk, which: np.ndarray, buckets: int):
+        keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, value, doc in chunk.windows(which):
+            order = np.lexsort((doc, value))
+            value, doc = value[order], doc[order]
+            head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            keys.append(value[head])
+            docs.append(doc[head])
+        self.chunk, self.segments = chunk, which
+        self.first = ex.FirstDocs(np.concatenate(keys), np.concatenate(docs), buckets)
+
+    def repeats(self, answers: dict[int, bytes]) -> np.ndarray:
+        """For each window, in order: whether a smaller document has it too."""
+        order = np.argsort(self.first.keys)
+        keys, least = self.first.keys[order], self.first.docs[order]
+        smaller = self.first.smaller_keys(answers)[order]
+        out = [np.zeros(0, bool)]
+        for _, value, doc in self.chunk.windows(self.segments):
+            at = np.searchsorted(keys, value)
+            out.append(smaller[at] | (least[at] < doc))
+        return np.concatenate(out)
 
 
 class Contents:
@@ -155,7 +200,10 @@ class Contents:
         self.of[order] = np.cumsum(new) - 1
 
 
-def _first_question(window: int, buckets: int):
+def _first_question(window: int, buckets: int, sort_bytes: int = SORT_BYTES):
+    # Sizes below this in every chunk stay under half the bound together.
+    least = max(1, sort_bytes // (2 * buckets))
+
     def ask(table: pa.Table) -> list[tuple[int, int, bytes]]:
         chunk, me = Chunk(table, window), table["chunk"][0].as_py()
         samples = Samples(chunk, buckets)
@@ -165,24 +213,38 @@ def _first_question(window: int, buckets: int):
         for b in sorted({*copies, *parts}):
             x, y = parts.get(b, (0, 0))
             low = (samples.code[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out.append((me, b, ex.packed(ex.sorted_bytes(low), ex.bits(samples.several[x:y]), *copies.get(b, (b"", b"")))))
+            large = np.flatnonzero(samples.size[x:y] >= least)
+            out.append((me, b, ex.packed(
+                ex.sorted_bytes(low), ex.bits(samples.several[x:y]), *copies.get(b, (b"", b"")),
+                large.astype(np.uint32).tobytes(), samples.size[x:y][large].tobytes(),
+            )))
         return out
 
     return ask
 
 
-def _name_samples(payloads: list[bytes]) -> list[bytes]:
-    """Bits: two documents or more hold the sample; a smaller copy of the document exists."""
-    parts = [ex.unpacked(p) for p in payloads]
-    low = [ex.from_sorted_bytes(p[0]) for p in parts]
-    sizes = [len(x) for x in low]
-    several = np.concatenate([ex.from_bits(p[1], n) for p, n in zip(parts, sizes)])
-    _, which, counts = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-    many = ((counts > 1) | (np.bincount(which, several, len(counts)) > 0))[which]
-    copies = ex.smaller_elsewhere(
-        [np.frombuffer(p[2], np.uint64) for p in parts], [np.frombuffer(p[3], np.int64) for p in parts]
-    )
-    return [ex.packed(ex.bits(m), ex.bits(c)) for m, c in zip(np.split(many, np.cumsum(sizes)[:-1]), copies)]
+def _name_samples(sort_bytes: int = SORT_BYTES):
+    def reply(payloads: list[bytes]) -> list[bytes]:
+        """Bits: two documents or more hold the sample; a smaller copy of the document exists; the sample is crowded."""
+        parts = [ex.unpacked(p) for p in payloads]
+        low = [ex.from_sorted_bytes(p[0]) for p in parts]
+        sizes = [len(x) for x in low]
+        several = np.concatenate([ex.from_bits(p[1], n) for p, n in zip(parts, sizes)])
+        _, which, counts = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+        many = ((counts > 1) | (np.bincount(which, several, len(counts)) > 0))[which]
+        copies = ex.smaller_elsewhere(
+            [np.frombuffer(p[2], np.uint64) for p in parts], [np.frombuffer(p[3], np.int64) for p in parts]
+        )
+        cut = np.cumsum(sizes)
+        large = np.concatenate([np.frombuffer(p[4], np.uint32) + at for p, at in zip(parts, cut - sizes)]).astype(np.int64)
+        total = np.bincount(which[large], np.concatenate([np.frombuffer(p[5], np.int64) for p in parts]), len(counts))
+        crowded = (total >= sort_bytes / 2)[which]
+        return [
+            ex.packed(ex.bits(m), ex.bits(c), ex.bits(w))
+            for m, c, w in zip(np.split(many, cut[:-1]), copies, np.split(crowded, cut[:-1]))
+        ]
+
+    return reply
 
 
 def _second_question(window: int, buckets: int):
@@ -190,21 +252,27 @@ def _second_question(window: int, buckets: int):
         chunk, me = Chunk(table, window), table["chunk"][0].as_py()
         samples = Samples(chunk, buckets)
         got = {b: ex.unpacked(p) for b, p in answers.items()}
-        many = np.zeros(len(samples.code), bool)
+        many, crowded = np.zeros(len(samples.code), bool), np.zeros(len(samples.code), bool)
         for b, x, y in ex.spans(samples.code, buckets):
-            many[x:y] = ex.from_bits(got[b][0], y - x)
+            many[x:y], crowded[x:y] = ex.from_bits(got[b][0], y - x), ex.from_bits(got[b][2], y - x)
         copies = ex.FirstDocs(chunk.whole(), chunk.ids[chunk.long], buckets)
         skip = np.zeros(len(chunk.sizes), bool)
         skip[chunk.long] = copies.smaller({b: p[1] for b, p in got.items()}) | (
             copies.docs[copies.which] < chunk.ids[chunk.long]
         )
         maybe = many[samples.which] & ~skip[chunk.row]
+        apart = maybe & crowded[samples.which]
+        maybe &= ~apart
+        windows = Windows(chunk, np.flatnonzero(apart), buckets).first.parts()
         contents = Contents(chunk, np.flatnonzero(maybe), buckets)
-        out = [(me, ex.note_to_self(me), ex.packed(ex.bits(maybe), ex.bits(skip)))]
-        for b, x, y in ex.spans(contents.code, buckets):
+        out = [(me, ex.note_to_self(me), ex.packed(ex.bits(maybe), ex.bits(skip), ex.bits(apart)))]
+        parts = {b: (x, y) for b, x, y in ex.spans(contents.code, buckets)}
+        for b in sorted({*windows, *parts}):
+            x, y = parts.get(b, (0, 0))
             low = (contents.code[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             out.append((me, b, ex.packed(
-                ex.sorted_bytes(low), contents.content[x:y].tobytes(), contents.least[x:y].astype(np.int64).tobytes()
+                ex.sorted_bytes(low), contents.content[x:y].tobytes(), contents.least[x:y].astype(np.int64).tobytes(),
+                *windows.get(b, (b"", b"")),
             )))
         return out
 
@@ -212,22 +280,28 @@ def _second_question(window: int, buckets: int):
 
 
 def _name_contents(payloads: list[bytes]) -> list[bytes]:
-    """Bits: a smaller document of another chunk holds the segment; its sample has different segments."""
+    """Bits: a smaller document of another chunk holds the segment; its sample has different segments; a smaller
+    document of another chunk holds the window."""
     parts = [ex.unpacked(p) for p in payloads]
     low = [ex.from_sorted_bytes(p[0]) for p in parts]
     content = [np.frombuffer(p[1], np.uint64) for p in parts]
     doc = [np.frombuffer(p[2], np.int64) for p in parts]
     smaller = ex.smaller_elsewhere(content, doc)
+    windows = ex.smaller_elsewhere(
+        [np.frombuffer(p[3], np.uint64) for p in parts], [np.frombuffer(p[4], np.int64) for p in parts]
+    )
     every, key = np.concatenate(low), np.concatenate(content)
     order = np.lexsort((key, every))
     k, c = every[order], key[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])
-    other = np.concatenate([[True], (c[1:] != c[:-1]) | head[1:]])
+    head = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+    other = np.concatenate([[True], (c[1:] != c[:-1]) | head[1:]])[: len(k)]
     group = np.cumsum(head) - 1
     differing = np.empty(len(every), bool)
     differing[order] = (np.bincount(group, other) > 1)[group]
     cut = np.cumsum([len(x) for x in low])[:-1]
-    return [ex.packed(ex.bits(s), ex.bits(d)) for s, d in zip(smaller, np.split(differing, cut))]
+    return [
+        ex.packed(ex.bits(s), ex.bits(d), ex.bits(w)) for s, d, w in zip(smaller, np.split(differing, cut), windows)
+    ]
 
 
 def _third_question(window: int, buckets: int):
@@ -243,7 +317,9 @@ def _third_question(window: int, buckets: int):
         send = differing & ~smaller
         repeat = np.zeros(len(chunk.start), bool)
         repeat[contents.which] = smaller[contents.of] | (contents.least[contents.of] < chunk.doc[contents.which])
-        out = [(me, ex.note_to_self(me), ex.packed(note[0], note[1], ex.bits(repeat), ex.bits(send)))]
+        windows = Windows(chunk, np.flatnonzero(ex.from_bits(note[2], len(chunk.start))), buckets)
+        gone = windows.repeats({b: ex.unpacked(p)[2] for b, p in answers.items() if b >= 0})
+        out = [(me, ex.note_to_self(me), ex.packed(note[0], note[1], ex.bits(repeat), ex.bits(send), note[2], ex.bits(gone)))]
         data = chunk.data.tobytes()
         for b, x, y in ex.spans(contents.code, buckets):
             some = contents.example[x:y][send[x:y]]
@@ -286,10 +362,7 @@ def sort_segments(data: np.ndarray, length: np.ndarray, doc: np.ndarray, window:
     return out[left >= window]
 
 
-SORT_BYTES = 4 << 20
-
-
-def _sort_bucket(window: int):
+def _sort_bucket(window: int, sort_bytes: int):
     def reply(payloads: list[bytes]) -> list[bytes]:
         """Bits: for each window of each segment sent, whether a smaller document has it."""
         parts = [ex.unpacked(p) for p in payloads]
@@ -308,7 +381,7 @@ def _sort_bucket(window: int):
         at = 0
         while at < len(order):
             base = size[at - 1] if at else 0
-            stop = int(np.searchsorted(size, base + SORT_BYTES, side="right"))
+            stop = int(np.searchsorted(size, base + sort_bytes, side="right"))
             later = edge[edge > at]
             within = later[later <= max(stop, at + 1)]
             stop = int(within[-1]) if len(within) else (int(later[0]) if len(later) else len(order))
@@ -325,7 +398,9 @@ def _sort_bucket(window: int):
     return reply
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CHUNK_BYTES) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CHUNK_BYTES, sort_bytes: int = SORT_BYTES
+) -> DataFrame:
     """Adds ``n_bytes, n_removed, spans`` (removed byte ranges) and ``kept`` (the remaining bytes)."""
     if window < 8:
         raise ValueError("window is at least 8 bytes")
@@ -371,14 +446,21 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CH
             start = (np.repeat(chunk.start[mine], n) + step)[gone]
             np.add.at(depth, start, 1)
             np.add.at(depth, start + window, -1)
+        apart = np.flatnonzero(ex.from_bits(note[4], len(chunk.start)))
+        if len(apart):
+            size = (chunk.stop - chunk.start)[apart]
+            gone = ex.from_bits(note[5], int(size.sum()))
+            start = (np.repeat(chunk.start[apart] - (np.cumsum(size) - size), size) + np.arange(len(gone)))[gone]
+            np.add.at(depth, start, 1)
+            np.add.at(depth, start + window, -1)
         covered = np.cumsum(depth)[:-1] > 0
         for r in np.flatnonzero(skip):
             covered[chunk.at[r] : chunk.at[r + 1]] = True
         return _removed(chunk, covered, columns, out_schema)
 
-    named = ex.answer(ex.ask(small, _first_question(window, buckets)), _name_samples)
+    named = ex.answer(ex.ask(small, _first_question(window, buckets, sort_bytes)), _name_samples(sort_bytes))
     named = ex.answer(ex.ask_again(small, named, _second_question(window, buckets)), _name_contents)
-    sorted_ = ex.answer(ex.ask_again(small, named, _third_question(window, buckets)), _sort_bucket(window))
+    sorted_ = ex.answer(ex.ask_again(small, named, _third_question(window, buckets)), _sort_bucket(window, sort_bytes))
     return chunked.groupBy("chunk").cogroup(sorted_.groupBy("chunk")).applyInArrow(remove, schema)
 
 

@@ -81,6 +81,55 @@ def test_suffix_dedup(spark, chunk_bytes):
         assert [k for s in r.spans for k in range(s.start, s.end)] == [k for k, c in enumerate(covered) if c]
 
 
+def _phrase(n=300):
+    """Texts that hold one phrase, each between words of its own, and a line of dashes of its own length."""
+    rng = random.Random(4)
+    own = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    phrase = "all rights to this text are reserved by those who wrote it"
+    rows = [(i * 7 % n, f"{own()} {phrase} {own()}\n{'-' * rng.randint(40, 400)}\n{own()}") for i in range(n)]
+    return [*rows, (rows[3][0], rows[4][1]), (None, rows[5][1]), (None, f"{phrase} {own()}"), (n, rows[9][1])]
+
+
+@pytest.mark.parametrize("chunk_bytes", [20_000, 10 << 20])
+def test_suffix_dedup_of_a_common_phrase(spark, chunk_bytes):
+    rows = _phrase()
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{DOCS}, n int")
+    got = {r.n: r for r in suffix_dedup.suffix_dedup(docs, chunk_bytes=chunk_bytes, sort_bytes=2000).collect()}
+    for n, (d, raw, covered) in enumerate(_removed(rows, lambda t: (t or "").encode(), 50)):
+        assert (got[n].doc_id, got[n].n_removed) == (d, sum(covered)), n
+        assert bytes(got[n].kept) == bytes(b for b, c in zip(raw, covered) if not c)
+
+
+def test_no_sort_holds_a_common_phrase(monkeypatch):
+    """Whatever the number of documents, no suffix sort gets more bytes than its bound."""
+    import pyarrow as pa
+
+    buckets, bound, sorted_bytes = 4, 2000, []
+    sort = suffix_dedup.sort_segments
+    monkeypatch.setattr(suffix_dedup, "sort_segments", lambda data, *rest: sorted_bytes.append(len(data)) or sort(data, *rest))
+    rows = [r for r in _phrase() + [(1000 + d, t) for d, t in _passages() if d is not None]]
+    tables = [
+        pa.table({"doc_id": [r[0] for r in some], "text": [r[1] for r in some], "chunk": [c] * len(some)})
+        for c in range(buckets) if (some := [r for i, r in enumerate(rows) if i % buckets == c])
+    ]
+
+    def answers(asked, reply):
+        out = {c: {} for c in range(buckets)}
+        for b in sorted({m[1] for m in asked}):
+            mine = [m for m in asked if m[1] == b]
+            for m, p in zip(mine, [m[2] for m in mine] if b < 0 else reply([m[2] for m in mine])):
+                out[m[0]][b] = p
+        return out
+
+    first, second, third = suffix_dedup._first_question(50, buckets, bound), *(
+        q(50, buckets) for q in (suffix_dedup._second_question, suffix_dedup._third_question)
+    )
+    got = answers([m for t in tables for m in first(t)], suffix_dedup._name_samples(bound))
+    got = answers([m for c, t in enumerate(tables) for m in second(t, got[c])], suffix_dedup._name_contents)
+    got = answers([m for c, t in enumerate(tables) for m in third(t, got[c])], suffix_dedup._sort_bucket(50, bound))
+    assert sorted_bytes and max(sorted_bytes) <= bound
+
+
 @pytest.mark.parametrize("job", [block_dedup, suffix_dedup.suffix_dedup])
 def test_substring_dedup_of_nothing(spark, job):
     empty = spark.createDataFrame([], DOCS)

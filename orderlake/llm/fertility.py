@@ -4,12 +4,18 @@ For each text: characters per token and the share of byte-fallback tokens under
 public sentencepiece vocabulary, the entropy of its tokens, and plain word and line
 counts. Words are encoded one by one, so a text's figures are sums over its words.
 
+The bands look at characters per token under three vocabularies: the sentencepiece one, a
+word-level and a byte-level BPE. Words with a digit (keys, numbers, addresses) are left
+out of these where they are few: they take many tokens, and a clean text that names one
+would measure as junk.
+
 A null or empty text has no words, entropy and shares of 0, and fails the base rule.
 Rows may repeat; a column that has the name of an added one gives way to it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -19,11 +25,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from orderlake.llm.arrow_text import _BASE, _BYTE, Words, first_mask, flat, mix, per_row, powers, slices, windows
 from orderlake.llm.schema import added, without
+from orderlake.llm.word_tokens import _byte_of_char as byte_of_char
+from orderlake.llm.word_tokens import encoder
 
 
 class Band(NamedTuple):
@@ -33,14 +42,18 @@ class Band(NamedTuple):
     max_chars_per_token: float
     max_fallback_share: float
     min_entropy: float
+    min_chars_per_word_token: float = 0.0
+    min_chars_per_byte_token: float = 0.0
 
 
-#: By ``lang`` first, then by script; "other" holds for the rest.
+#: By ``lang`` first, then by script; "other" holds for the rest. The least characters per token of the four languages are
+#: 2 % below the lowest clean text of SHORT words or more among the labelled ones of sf0.1; "mixed" has the least of each.
 BANDS = {
-    "en": Band(1.80, 5.0, 0.10, 5.0),
-    "de": Band(1.80, 5.0, 0.10, 5.0),
-    "fr": Band(1.60, 5.0, 0.10, 5.0),
-    "es": Band(1.70, 5.0, 0.10, 5.0),
+    "en": Band(2.04, 5.0, 0.10, 5.0, 2.21, 2.06),
+    "de": Band(2.09, 5.0, 0.10, 5.0, 2.03, 1.90),
+    "fr": Band(1.83, 5.0, 0.10, 5.0, 1.84, 1.70),
+    "es": Band(1.76, 5.0, 0.10, 5.0, 1.78, 1.60),
+    "mixed": Band(1.76, 5.0, 0.10, 5.0, 1.78, 1.60),
     "latin": Band(1.55, 6.0, 0.10, 3.0),
     "greek": Band(0.6, 4.0, 0.50, 3.0),
     "cyrillic": Band(1.0, 5.0, 0.20, 3.0),
@@ -50,6 +63,11 @@ BANDS = {
     "other": Band(0.2, 6.0, 0.95, 2.5),
 }
 MIN_WORDS = 50
+WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+SHORT, SHORT_SHARE = 100, 0.94  # words; of the least characters per token, for texts with fewer, whose figures vary more
+MAX_MIXED_SHARE = 0.005  # letters beyond ASCII in a text that says it is English; above, it holds other languages too
+MAX_DIGIT_PERCENT = 10  # of a text's words; where more have a digit, they count
 MAX_REPEAT_PERCENT = 50
 
 # The symbols that count.
@@ -95,6 +113,33 @@ def _model(vocabulary: str):
     return model, fallback
 
 
+@lru_cache(maxsize=1)
+def _byte_model(vocabulary: str):
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte = byte_of_char()
+    ranks = {}
+    for token, i in vocab.items():
+        if all(c in byte for c in token):
+            ranks[bytes(byte[c] for c in token)] = i
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _word_tokens(different: list[bytes]) -> np.ndarray:
+    encode = encoder(WORD_VOCABULARY).encode
+    return np.fromiter((len(encode(w.decode())) // 4 for w in different), np.int64, len(different))
+
+
+def _byte_tokens(different: list[bytes]) -> np.ndarray:
+    encode = _byte_model(BYTE_VOCABULARY).encode_ordinary
+    return np.fromiter((len(encode(" " + w.decode())) for w in different), np.int64, len(different))
+
+
+def _has_digit(words: Words) -> np.ndarray:
+    digits = np.concatenate([[0], np.cumsum((words.data >= 48) & (words.data < 58))])
+    return digits[words.end] > digits[words.start]
+
+
 def repeated_lines(words: Words) -> np.ndarray:
     """For each row, lines with a word that equal an earlier line of the row."""
     data, at = words.data, words.at
@@ -163,6 +208,15 @@ def measure(texts: pa.Array, vocabulary: str) -> dict[str, np.ndarray]:
     fallback = per_row(is_fallback[pool], start)
     n_pieces = per_row(sizes[which], words.first)
     out["n_pieces"] = n_pieces
+    # What the bands look at.
+    counted = ~_has_digit(words)
+    counted |= (100 * per_row(~counted, words.first) > MAX_DIGIT_PERCENT * n_words)[words.row]
+    chars = np.concatenate([[0], np.cumsum(solid_chars)])
+    chars = per_row(np.where(counted, chars[words.end] - chars[words.start], 0), words.first)
+    for name, count in (("piece", sizes), ("word", _word_tokens(different)), ("byte", _byte_tokens(different))):
+        out[f"chars_per_{name}"] = chars / np.maximum(per_row(np.where(counted, count[which], 0), words.first), 1)
+    code_points = per_row(data & 0xC0 != 0x80, at)
+    out["wide_share"] = per_row(data >= 0xC0, at) / np.maximum(code_points, 1)
     safe = np.maximum(n_pieces, 1)
     out["chars_per_token"] = out["word_chars"] / safe
     out["fallback_share"] = per_row(fallback[which], words.first) / safe
@@ -180,14 +234,19 @@ def measure(texts: pa.Array, vocabulary: str) -> dict[str, np.ndarray]:
 
 def _kept(m: dict[str, np.ndarray], langs: list[str | None], bands: dict[str, Band]) -> np.ndarray:
     rows = len(langs)
+    mixed = (m["wide_share"] > MAX_MIXED_SHARE).tolist()
+    langs = ["mixed" if lang == "en" and wide else lang for lang, wide in zip(langs, mixed)]
     limit = np.array(
         [bands.get(lang) or bands.get(SCRIPTS[s]) or bands["other"] for lang, s in zip(langs, m["script"].tolist())]
-    ).reshape(rows, 4)
+    ).reshape(rows, len(Band._fields))
+    limit[m["n_words"] < SHORT] *= [SHORT_SHARE, 1, 1, 1, SHORT_SHARE, SHORT_SHARE]
     return (
-        (m["chars_per_token"] >= limit[:, 0])
-        & (m["chars_per_token"] <= limit[:, 1])
+        (m["chars_per_piece"] >= limit[:, 0])
+        & (m["chars_per_piece"] <= limit[:, 1])
         & (m["fallback_share"] <= limit[:, 2])
         & (m["token_entropy"] >= limit[:, 3])
+        & (m["chars_per_word"] >= limit[:, 4])
+        & (m["chars_per_byte"] >= limit[:, 5])
     )
 
 

@@ -197,3 +197,22 @@ def test_packing_finds_neighbours(spark):
     for p in pieces:
         together[p.sequence_id].add(topic[p.doc_id])
     assert sum(len(t) for t in together.values()) <= len(together) + 8
+
+
+def test_bands_part_junk_from_clean_texts(spark):
+    """On labelled texts that pass the base rule: most junk goes, clean texts stay, those with keys too."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    labelled = docs.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    rows = fertility(labelled, keep=["doc_id", "quality"]).where("not base_failed").collect()
+    kept = {q: [r.kept for r in rows if r.quality == q] for q in (0, 1)}
+    assert sum(kept[0]) <= 0.3 * len(kept[0]) and all(kept[1])
+
+
+def test_words_with_digits_do_not_count_in_bands():
+    text = " ".join(["words", "which", "anybody", "may", "read"] * 12)
+    key = f"{text} 0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    m = measure(pa.array([text, key, f"{'1a2b3c4d5e6f7a8b ' * 30}{text}"]), "piece_bpe_32k.model")
+    for name in ("chars_per_piece", "chars_per_word", "chars_per_byte"):
+        assert m[name][0] == m[name][1] > m[name][2]
+    assert m["chars_per_token"][0] > m["chars_per_token"][1]

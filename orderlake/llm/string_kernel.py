@@ -129,14 +129,18 @@ def document_units(words: Words) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     hashes = words.hashes()
     _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
     strings, string, row = words.take(example), which, words.row
-    single = (words.end - words.start == 1) & (_LETTER[words.data[words.start]] > 0) if len(words.start) else np.zeros(0, bool)
+    single = np.zeros(0, bool)
+    if len(words.start):
+        lead = np.concatenate([[0], np.cumsum(words.data & 0xC0 != 0x80)])
+        single = (lead[words.end] - lead[words.start] == 1) & (_LETTER[words.data[words.start]] > 0)
     if single.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         runs, owners = [], []
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             for x in _same_row(words.row, a, b):
                 if x[1] - x[0] >= 3:
-                    runs.append(words.data[words.start[x[0] : x[1]]].tobytes())
+                    span = slice(words.start[x[0]], words.end[x[1] - 1])
+                    runs.append(words.data[span][words.solid[span]].tobytes())
                     owners.append(int(words.row[x[0]]))
         if runs:
             string = np.concatenate([string, len(strings) + np.arange(len(runs))])

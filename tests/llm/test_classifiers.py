@@ -133,3 +133,11 @@ def test_spaced_letters_are_one_unit():
     strings, string, row = sk.document_units(Words(*flat(pa.array(["you i d i o t here", "a b", "x y z"]))))
     assert b"idiot" in strings and b"xyz" in strings and b"ab" not in strings
     assert row[string == strings.index(b"idiot")].tolist() == [0]
+
+
+def test_spaced_letters_beyond_ascii_are_one_unit():
+    from orderlake.llm.arrow_text import Words, flat
+
+    strings, string, row = sk.document_units(Words(*flat(pa.array(["ein d ü m m l i n g hier", "é è", "п л о х о"]))))
+    assert "dümmling".encode() in strings and "плохо".encode() in strings and "éè".encode() not in strings
+    assert row[string == strings.index("dümmling".encode())].tolist() == [0]

@@ -37,7 +37,7 @@ from orderlake.llm.labelled import labelled_sample
 from orderlake.llm.schema import added, without
 
 LAMBDA, MAX_SPAN = 0.6, 6
-SAMPLE_EACH = 1200
+SAMPLE_EACH = 2000
 SAMPLE_BYTES = 1 << 16
 LANDMARKS = 96  # for each label
 ROUNDS, C = 3, 4.0

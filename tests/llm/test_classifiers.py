@@ -141,3 +141,7 @@ def test_spaced_letters_beyond_ascii_are_one_unit():
     strings, string, row = sk.document_units(Words(*flat(pa.array(["ein d ü m m l i n g hier", "é è", "п л о х о"]))))
     assert "dümmling".encode() in strings and "плохо".encode() in strings and "éè".encode() not in strings
     assert row[string == strings.index("dümmling".encode())].tolist() == [0]
+
+
+def test_sample_has_its_first_size():
+    assert sk.SAMPLE_EACH == 2000 and sk.train.__defaults__[-1] == sk.SAMPLE_EACH

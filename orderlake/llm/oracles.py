@@ -117,3 +117,107 @@ WITH RECURSIVE vectors AS (
 SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component_id AS kept
 FROM roots LEFT JOIN degree ON a = node
 """
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({text}, ''),
+  lambda c: list_transform(range(8), lambda i: ((ascii(c) >> i::INTEGER) & 1)::BIGINT)))),
+  lambda crc, bit: xor(crc >> 1, (xor(crc, bit) & 1) * 3988292384)), 4294967295::BIGINT)"""
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS first, count(*) AS n, {_CRC32.format(text="conv_id::VARCHAR")} % 6 AS h
+  FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, t.p, role, text FROM convs c JOIN turns t ON t.conv_id = c.first AND t.p < c.h
+  UNION ALL
+  SELECT t.conv_id, t.p - c.h + least(c.h, coalesce(f.n, 0)), role, text
+  FROM turns t JOIN convs c ON t.conv_id = c.conv_id LEFT JOIN convs f ON f.conv_id = c.first WHERE t.p >= c.h
+), paths AS (
+  SELECT c.conv_id, coalesce(list(strlen(role) || ':' || strlen(text) || ':' || role || text ORDER BY p) FILTER (p IS NOT NULL), []) AS path,
+    coalesce(list(length(text) ORDER BY p) FILTER (p IS NOT NULL), []) AS chars
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), prefixes AS (
+  SELECT conv_id, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth, path, chars FROM paths
+), members AS (
+  SELECT conv_id, n, depth, array_to_string(path[1 : depth], '') AS node, array_to_string(path[1 : depth - 1], '') AS parent,
+    coalesce(chars[depth], 0) AS chars
+  FROM prefixes
+), nodes AS (
+  SELECT depth, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS longest,
+    (count(*) - 1) * max(chars) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM members GROUP BY depth, node
+), subtrees AS (
+  SELECT above.depth, above.node, count(*) FILTER (below.longest = below.depth) AS n_leaves, sum(below.saved)::BIGINT AS saved_tokens
+  FROM nodes below JOIN members above ON above.conv_id = below.conv_id AND above.depth <= below.depth
+  GROUP BY above.depth, above.node
+), children AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+)
+SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  saved_tokens, x.ends_sha256
+FROM nodes x JOIN subtrees s ON s.depth = x.depth AND s.node = x.node
+LEFT JOIN children c ON c.depth = x.depth AND c.node = x.node
+LEFT JOIN nodes up ON up.depth = x.depth - 1 AND up.node = x.parent
+"""
+
+
+def _merkle_level(i: int) -> str:
+    """Nodes of level i + 1 of each tree from those of level i; a node that is alone stays."""
+    return f"""runs{i} AS (
+  SELECT tree, place // 16 AS up, list(hash ORDER BY place) AS run FROM level{i} WHERE width > 1 GROUP BY ALL
+), level{i + 1} AS (
+  SELECT tree, up AS place, sha256(array_to_string(run, '')) AS hash, count(*) OVER (PARTITION BY tree) AS width FROM runs{i}
+  UNION ALL SELECT tree, place, hash, width FROM level{i} WHERE width = 1
+)"""
+
+
+def _merkle(levels: int) -> str:
+    """All proofs, of trees of up to 16 ** levels leaves over as many groups."""
+    parts = [_merkle_level(i) for i in range(levels)]
+    top = f"""level{levels + 1} AS (
+  SELECT 'top' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, hash, count(*) OVER () AS width FROM level{levels}
+)"""
+    above = [_merkle_level(i) for i in range(levels + 1, 2 * levels + 1)]
+    way = ["climb0 AS (SELECT *, '' AS proof, coalesce(claimed, hash) AS folded, hash AS node FROM level0)"]
+    for i in range(2 * levels + 1):
+        if i == levels:
+            # From the group roots to the leaves of the tree above.
+            way.append(f"""climb{i + 1} AS (
+  SELECT c.* REPLACE ('top' AS tree, t.place AS place, t.width AS width), t.hash AS subroot
+  FROM climb{i} c JOIN (SELECT g.tree AS key, t.* FROM (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS at FROM level{levels}) g
+    JOIN level{levels + 1} t ON t.place = g.at) t ON t.key = c.tree
+)""")
+            continue
+        way.append(f"""climb{i + 1} AS (
+  SELECT c.* REPLACE (
+    CASE WHEN r.run IS NULL THEN place ELSE place // 16 END AS place,
+    CASE WHEN r.run IS NULL THEN width ELSE (width + 15) // 16 END AS width,
+    CASE WHEN r.run IS NULL THEN proof ELSE proof || array_to_string(run[1 : place % 16], '') || array_to_string(run[place % 16 + 2 :], '') END AS proof,
+    CASE WHEN r.run IS NULL THEN folded
+      ELSE sha256(array_to_string(run[1 : place % 16], '') || folded || array_to_string(run[place % 16 + 2 :], '')) END AS folded)
+  FROM climb{i} c LEFT JOIN runs{i} r ON r.tree = c.tree AND r.up = c.place // 16 AND c.width > 1
+)""")
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    rest = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _CRC32.format(text="coalesce(doc_id::VARCHAR, '')")
+    return f"""
+WITH hashed AS (
+  SELECT doc_id, coalesce('+' || source, '') AS tree, sha256({rest} || {field("text")}) AS hash,
+    CASE WHEN {crc} % 5 = 0 THEN sha256({rest} || {field(lower)}) END AS claimed
+  FROM documents
+), level0 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS width FROM hashed
+), {", ".join([*parts, top, *above, *way])}
+SELECT doc_id, c.node AS leaf, subroot, r.hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+  folded = r.hash AS verified
+FROM climb{2 * levels + 1} c, level{2 * levels + 1} r
+"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle(5)

@@ -1,0 +1,267 @@
+"""Conversation trie, Merkle proofs and the byte codec against plain Python."""
+
+import base64
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from orderlake.llm import byte_codec
+from orderlake.llm.byte_codec import Codec, decode_ids, encode_texts, segments
+from orderlake.llm.merkle import fold, merkle_proofs, proof_text, row_hash
+from orderlake.llm.numbering import places
+from orderlake.llm.prefix_trie import prefix_trie, turns_in_order, with_shared_heads
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# Numbering
+
+
+def test_places_of_hot_and_equal_rows(spark, folder):
+    rows = [("hot", i % 7) for i in range(500)] + [(None, i) for i in range(40)] + [("b", None), ("b", 1), ("b", 1)]
+    random.Random(1).shuffle(rows)
+    spark.createDataFrame(rows, "g string, v int").repartition(5).write.parquet(folder)
+    got = defaultdict(list)
+    for r in places(spark.read.parquet(folder), ["g"], ["v"], "test").collect():
+        got[r.g].append((r.place, r.v, r.group_size))
+    for g, found in got.items():
+        found.sort()
+        values = sorted((v for x, v in rows if x == g), key=lambda v: (v is not None, v))
+        assert [p for p, _, _ in found] == list(range(len(values)))
+        assert [v for _, v, _ in found] == values
+        assert {n for _, _, n in found} == {len(values)}
+
+
+# Trie
+
+
+def plain_rebuild(rows):
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    order = lambda t: (t[0], t[1], hashlib.sha256(f"{len(t[2].encode())}:{t[2]}{t[3]}".encode()).hexdigest())
+    convs = {c: [t[2:] for t in sorted(turns, key=order)] for c, turns in convs.items()}
+    built = {}
+    for c, turns in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        first = abs(c) // 100 * 100 * (1 if c > 0 else -1)
+        built[c] = convs.get(first, [])[:h] + turns[h:]
+    return built
+
+
+def plain_trie(built):
+    members = defaultdict(list)
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members[tuple(built[c][:d])].append(c)
+    children = defaultdict(int)
+    for node in members:
+        if node:
+            children[node[:-1]] += 1
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for node, who in members.items():
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += (len(who) - 1) * len(node[-1][1]) if node else 0
+    return sorted(
+        (who[0], len(node), members[node[:-1]][0] if node else None, len(who), children[node], leaves[node], saved[node],
+         sha(",".join(str(c) for c in who if len(built[c]) == len(node))))
+        for node, who in members.items()
+    )
+
+
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def run_trie(spark, rows, path):
+    schema = "conv_id long, turn long, role string, text string, place string, key int"
+    spark.createDataFrame([(*r, "x", 1) for r in rows], schema).repartition(3).write.parquet(path)
+    found = prefix_trie(*with_shared_heads(turns_in_order(spark.read.parquet(path))))
+    assert [t for _, t in found.select(TRIE).dtypes] == ["bigint"] * 7 + ["string"]
+    return sorted((tuple(r) for r in found.select(TRIE).collect()), key=lambda r: r[:2])
+
+
+def test_trie_of_random_conversations(spark, folder):
+    rng = random.Random(7)
+    rows = []
+    for c in [*range(0, 24), *range(100, 130), *range(203, 212), 70_000, 140_001]:
+        # Some conversations are copies of another up to their end; lengths meet the block's width.
+        seed = rng.choice([1, 1, 2, c])
+        own = random.Random(seed)
+        for t in range(rng.choice([1, 3, 8, 9, 16, 17, 25])):
+            rows.append((c, t, own.choice(["user", "bot"]), own.choice(["a", "bb", "ü中", "one two"])))
+    rows += [(5, None, "user", "first"), (6, 0, None, None), (6, 0, None, None), (7, 1, "user", None), (None, 1, "user", "lost")]
+    rng.shuffle(rows)
+    assert run_trie(spark, rows, folder) == plain_trie(plain_rebuild(rows))
+
+
+def test_trie_of_long_copies_and_turnless(spark, folder):
+    # Copies of 150 turns that part late, a common first turn, and conversations that lose all turns.
+    rows = [(c, t, "user", "same" if t < 149 or c < 103 else f"end {c}") for c in (100, 101, 102, 103, 104) for t in range(150)]
+    short = [c for c in range(201, 260) if zlib.crc32(str(c).encode()) % 6 > 0][:4]
+    rows += [(c, 0, "user", "gone") for c in short]
+    built = plain_rebuild(rows)
+    assert all(built[c] == [] for c in short)
+    assert run_trie(spark, rows, folder) == plain_trie(built)
+
+
+def test_trie_without_conversations(spark, folder):
+    assert run_trie(spark, [(None, 0, "user", "x")], folder) == []
+
+
+def test_trie_of_turnless_conversation_alone(spark, folder):
+    c = next(c for c in range(1, 100) if zlib.crc32(str(c).encode()) % 6 > 0)
+    assert run_trie(spark, [(c, 0, "user", "x")], folder) == [(c, 0, None, 1, 0, 1, 0, sha(str(c)))]
+
+
+def test_ends_of_many_copies_go_in_chunks(spark, folder):
+    ids = [0, 65_535, 65_536, 65_537, 1 << 40, 7, -3, -65_600]
+    rows = [(c, t, "user", "same") for c in ids for t in range(6)]
+    assert run_trie(spark, rows, folder) == plain_trie(plain_rebuild(rows))
+
+
+# Merkle
+
+
+def plain_tree(hashes):
+    """Root and the siblings of each leaf, per level as (left, right)."""
+    proofs = [[] for _ in hashes]
+    under, level = [[i] for i in range(len(hashes))], list(hashes)
+    while len(level) > 1:
+        runs = [range(i, min(i + 16, len(level))) for i in range(0, len(level), 16)]
+        for run in runs:
+            for i in run:
+                for leaf in under[i]:
+                    proofs[leaf].append(("".join(level[run[0] : i]), "".join(level[i + 1 : run[-1] + 1])))
+        level, under = [sha("".join(level[i] for i in run)) for run in runs], [sum((under[i] for i in run), []) for run in runs]
+    return level[0], proofs
+
+
+def plain_proofs(rows):
+    """(doc_id, leaf) to (subroot, root, proof), for rows (doc_id, source, leaf)."""
+    groups = defaultdict(list)
+    for doc, source, leaf in rows:
+        groups[(b"" if source is None else b"+" + source.encode())].append((doc is not None, doc, leaf))
+    roots, below = [], []
+    for key in sorted(groups):
+        leaves = sorted(groups[key], key=lambda x: (x[0], x[1] or 0, x[2]))
+        root, proofs = plain_tree([leaf for *_, leaf in leaves])
+        roots.append(root)
+        below.append((leaves, proofs))
+    root, above = plain_tree(roots)
+    return root, sorted(
+        (str(doc), leaf, subroot, sha("".join(a + b for a, b in proof + up)))
+        for (leaves, proofs), subroot, up in zip(below, roots, above)
+        for (_, doc, leaf), proof in zip(leaves, proofs)
+    )
+
+
+def run_merkle(spark, rows):
+    schema = "doc_id long, source string, leaf string, root string, place int"
+    given = spark.createDataFrame([(*r, "given", 1) for r in rows], schema)
+    found = merkle_proofs(given, "source", "doc_id").withColumns({
+        "proof": F.sha2(proof_text(F.col("steps")), 256), "folded": fold(F.col("leaf"), F.col("steps")),
+        "forged": fold(F.sha2("leaf", 256), F.col("steps")),
+    })
+    assert {"place", "subroot", "steps"} < set(found.columns)
+    got = found.collect()
+    assert all(r.folded == r.root and r.forged != r.root and r.place == 1 for r in got)
+    return {r.root for r in got}, sorted((str(r.doc_id), r.leaf, r.subroot, r.proof) for r in got)
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": 1}, {"a": 16}, {"a": 17}, {"a": 1, "b": 1}, {None: 1, "a": 300, "": 3, "é": 18, "Z": 1}, {"hot": 4200, "b": 2},
+    {f"s{i}": 1 + i % 3 for i in range(300)},
+])
+def test_proofs_of_groups(spark, sizes):
+    rows, n = [], 0
+    for source, size in sizes.items():
+        for _ in range(size):
+            rows.append((n, source, sha(str(n))))
+            n += 1
+    random.Random(3).shuffle(rows)
+    root, want = plain_proofs(rows)
+    assert run_merkle(spark, rows) == ({root}, want)
+
+
+def test_proofs_of_repeated_and_null_rows(spark):
+    rows = [(1, "a", sha("x"))] * 20 + [(None, "a", sha(str(i))) for i in range(18)] + [(None, None, sha("n")), (2, "a", sha("y"))]
+    root, want = plain_proofs(rows)
+    assert run_merkle(spark, rows) == ({root}, want)
+
+
+def test_proofs_of_no_rows(spark):
+    found = merkle_proofs(spark.createDataFrame([], "doc_id long, source string, leaf string"), "source", "doc_id")
+    assert found.columns == ["doc_id", "source", "leaf", "subroot", "root", "steps"] and found.count() == 0
+
+
+def test_row_hash(spark):
+    row = spark.createDataFrame([(-5, None, "", "né")], "a long, b string, c string, d string")
+    assert row.select(row_hash(*map(F.col, "abcd")).alias("h")).first().h == sha("2:-5-0:3:né")
+
+
+# Codec
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return Codec(public_tokenizers.path(RANKS))
+
+
+PARTS = ["'re", " the", "  ", "\n\n", "don't", " 's", "中文，中。", "１２", "x" * 40, "7" * 30, "  ", "\x1c", *"ab éeE'sx \t\xa0中😀\x85.,!12　ı"]
+
+
+def test_parts_are_split_as_the_whole(codec, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(byte_codec, "LONG_RUN", 6)
+    monkeypatch.setattr(byte_codec, "_RUN", byte_codec.re.compile(f"[{byte_codec.WHITE}]{{6,}}"))
+    whole = codec.encoding.encode_ordinary
+    for n in range(400):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) + " " * rng.choice([0, 0, 1, 9])
+        text = text.replace("E", "\n   \t  " if n % 2 else "E")
+        for limit in (1, 3, 10):
+            parts = list(segments(text, limit))
+            assert "".join(parts) == text
+            assert [i for p in parts for i in whole(p)] == whole(text), (text, limit)
+        assert codec.encode(text) == whole(text), text
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 300_000 + "b", "w" * 200_000, "the cat. " * 60_000, "中文" * 90_000, "12ab" * 50_000])
+def test_very_long_texts(codec, text):
+    ids = codec.encode(text)
+    assert codec.decode(ids) == text.encode()
+    if "  " not in text and "\n\n" not in text:
+        assert ids == codec.encoding.encode_ordinary(text)
+    assert max(map(len, segments("the cat. " * 60_000))) <= byte_codec.SEGMENT
+
+
+def test_codec_over_a_table(spark, codec):
+    texts = [None, "", "one", "one", " \n\t ", "Ünïcode — 中文 😀", "a <|endoftext|> b", "x " * 70_000]
+    given = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "i int, text string, ids int")
+    ids = encode_texts(given, RANKS)
+    assert ids.columns == ["i", "text", "ids"]
+    with open(public_tokenizers.path(RANKS), "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    for r in decode_ids(ids, RANKS).collect():
+        assert r.ids == plain.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    assert encode_texts(given.limit(0), public_tokenizers.path(RANKS)).count() == 0
+
+
+def test_ids_cut_inside_a_character(spark, codec):
+    ids = codec.encode("😀")
+    given = spark.createDataFrame([(ids[:1],), (None,), ([],)], "ids array<int>")
+    assert [bytes(r.decoded) for r in decode_ids(given, RANKS).collect()] == [codec.decode(ids[:1]), b"", b""]
+    assert codec.decode(ids[:1]) == "😀".encode()[: len(codec.decode(ids[:1]))]

@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +35,7 @@ from orderlake.llm.prefix_tokens import WHITE
 from orderlake.llm.schema import added, without
 
 SEGMENT = 1 << 16
+SLICE_IDS = 1 << 18
 LONG_RUN = 10_000
 
 _RUN = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
@@ -65,7 +67,6 @@ class Codec:
             os.path.basename(ranks), pat_str=pattern, mergeable_ranks=table, special_tokens={}
         )
         self.piece = self.encoding._core_bpe.encode_single_piece
-        self.bytes_of = {rank: token for token, rank in table.items()}
 
     def encode(self, text: str) -> list[int]:
         if len(text) < LONG_RUN:
@@ -83,7 +84,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """Raw bytes: ids cut in the middle of a character give the bytes they have."""
-        return b"".join([self.bytes_of[i] for i in ids])
+        return self.encoding.decode_bytes(ids)
 
 
 @lru_cache(maxsize=4)
@@ -115,8 +116,8 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str = public_tokenizers.PAT
         for part in slices(batch, batch.schema.names[place]):
             rows = [codec.encode(text) if text else [] for text in part.column(place).to_pylist()]
             offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            flat = pa.array([i for row in rows for i in row], pa.int32())
-            yield part, pa.ListArray.from_arrays(pa.array(offsets), flat)
+            flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
+            yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     return _mapped(df, column, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), make)
 
@@ -125,8 +126,17 @@ def decode_ids(df: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTE
     """Adds ``decoded`` (binary): the bytes that the ids of ``column`` stand for."""
 
     def make(batch, place):
-        codec = _codec(ranks, pattern)
-        rows = batch.column(place).to_pylist()
-        yield batch, pa.array([codec.decode(ids or []) for ids in rows], pa.binary())
+        codec, lists = _codec(ranks, pattern), batch.column(place)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        absent = lists.is_null().to_numpy(zero_copy_only=False)
+        start = 0
+        while start < len(lists):
+            # Rows of about SLICE_IDS at a time; a longer one is a part of its own.
+            stop = max(start + 1, int(np.searchsorted(at, at[start] + SLICE_IDS, side="right")) - 1)
+            made = [
+                b"" if absent[i] else codec.decode(flat[at[i] : at[i + 1]].tolist()) for i in range(start, stop)
+            ]
+            yield batch.slice(start, stop - start), pa.array(made, pa.binary())
+            start = stop
 
     return _mapped(df, column, T.StructField("decoded", T.BinaryType()), make)

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -260,6 +261,22 @@ def test_codec_over_a_table(spark, codec):
     assert encode_texts(given.limit(0), public_tokenizers.path(RANKS)).count() == 0
 
 
+def test_decoding_in_parts(spark, codec, monkeypatch):
+    texts = ["", None, "one two three", "x " * 50, "four", None, "中文 five"] * 5
+    ids = [(i, None if t is None else codec.encode(t)) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([x for _, x in ids], pa.list_(pa.int32()))}).slice(2)
+    monkeypatch.setattr(byte_codec, "SLICE_IDS", 7)
+    monkeypatch.setattr(byte_codec, "_mapped", lambda df, column, field, make: make)
+    parts = list(decode_ids(None, RANKS)(batch, 0))
+    assert len(parts) > 5 and all(part.num_rows == len(made) for part, made in parts)
+    assert [b for _, made in parts for b in made.to_pylist()] == [(t or "").encode() for t in texts[2:]]
+
+
+def test_unknown_id_is_an_error(codec):
+    with pytest.raises(KeyError):
+        codec.decode([60_000])
+
+
 def test_ids_cut_inside_a_character(spark, codec):
     ids = codec.encode("😀")
     given = spark.createDataFrame([(ids[:1],), (None,), ([],)], "ids array<int>")

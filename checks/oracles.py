@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks.queries import SEARCH_LIMIT, SEARCHES
 from orderlake.fixtures import (
+    BROKEN_LINE_SQL,
     EMPTY_ARRAY,
     NO_IMAGE,
     ORDER_LINE_SQL,
@@ -351,6 +352,8 @@ ORACLES = {
       select cast(label as bigint) as query_id, rank, vec_id, round(score, 6) as score
       from ranked where rank <= 10""",
     "csv_roundtrip": f"with {_raw()} select {_COLS} from raw",
+    "csv_split_read": f"""with {_raw()} select {_COLS} from (
+      select * replace ({BROKEN_LINE_SQL} as Shipping_Address_Line2) from raw)""",
     "store_rebuild": f"with {_raw()} {_stored()}",
     "store_append": f"""with {_raw()} {_stored("raw where Shipping_State <= 'IL'")}
       union all {_stored('''(select * replace ('late batch.pdf' as Source_File) from raw

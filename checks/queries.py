@@ -256,6 +256,14 @@ def csv_roundtrip(spark, sf):
     return read_order_lines(spark, path).select(*ORDER_LINE_COLUMNS)
 
 
+def csv_split_read(spark, sf):
+    """One file with line breaks, quotes and commas inside cells, read by several tasks."""
+    path = scratch_path(spark, "split")
+    lines = fx.order_lines_raw(spark, sf).withColumn("Shipping_Address_Line2", F.expr(fx.BROKEN_LINE_SQL))
+    write_order_lines(lines.drop(INGEST_KEY).coalesce(1), path, max_records_per_file=0)
+    return read_order_lines(spark, path).select(*ORDER_LINE_COLUMNS)
+
+
 def _new_store(spark) -> RecordStore:
     return RecordStore(spark, scratch_path(spark, "store"), buckets=16)
 
@@ -490,6 +498,7 @@ QUERIES = {
     "search_count": search_count,
     "vector_topk": vector_topk,
     "csv_roundtrip": csv_roundtrip,
+    "csv_split_read": csv_split_read,
     "store_rebuild": store_rebuild,
     "store_append": store_append,
     "store_update": store_update,

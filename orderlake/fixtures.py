@@ -61,6 +61,12 @@ ORDER_LINE_SQL = {
 }
 
 # The same lines with the customer's name spelt unevenly, and blank for some.
+# An address line with line breaks, quotes and commas, on the second line of an order.
+BROKEN_LINE_SQL = (
+    "case when Source_Page = '2' then concat(Shipping_Address_Line2, chr(10), 'c/o ', chr(34), Customer_Name, chr(34), "
+    "',', chr(10), chr(10), 'rear') else Shipping_Address_Line2 end"
+)
+
 UNEVEN_NAME_SQL = (
     "case when c_custkey % 101 = 0 then '' "
     "when l_orderkey % 5 = 0 then concat('  ', upper(c_name), ' ') else c_name end"

@@ -6,7 +6,10 @@ whole texts; a batch is only cut between rows.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,93 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+class Keys:
+    """Hash functions of one run, drawn from a secret seed: nobody can write two texts that meet in them.
+
+    Ranges of up to ``SHORT`` bytes and windows of that many values go through a polynomial modulo 2**64 whose base and
+    byte values are secret. For that modulus long ranges can be made equal whatever the base, so these go through a keyed
+    cryptographic hash.
+    """
+
+    SHORT = 64
+
+    def __init__(self, seed: bytes):
+        self.seed = seed
+        random = np.random.default_rng(np.frombuffer(hashlib.blake2b(seed).digest(), np.uint32))
+        self.byte = random.integers(0, 2**64, 256, dtype=np.uint64)
+        self.base = random.integers(0, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._powers = self._inverses = np.ones(1, np.uint64)
+
+    def _grown(self, known: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
+        if len(known) >= n:
+            return known
+        steps = np.full(max(n, 1 << 12), factor, dtype=np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+    def powers(self, n: int) -> np.ndarray:
+        self._powers = self._grown(self._powers, n, self.base)
+        return self._powers[:n]
+
+    def inverse_powers(self, n: int) -> np.ndarray:
+        self._inverses = self._grown(self._inverses, n, np.uint64(pow(int(self.base), -1, 2**64)))
+        return self._inverses[:n]
+
+    def rolling(self, values: np.ndarray, size: int, part: int = 1 << 17) -> np.ndarray:
+        """A hash of every ``size`` consecutive values."""
+        n = max(0, len(values) - size + 1)
+        out = np.empty(n, np.uint64)
+        for low in range(0, n, part):
+            some = values[low : low + part + size - 1]
+            total = np.zeros(len(some) + 1, np.uint64)
+            np.cumsum(some * self.powers(len(some)), out=total[1:])
+            high = min(n, low + part)
+            out[low:high] = mix((total[size:] - total[:-size]) * self.inverse_powers(high - low))
+        return out
+
+    def windows(self, values: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of ``size`` consecutive values of one row, and the index each window starts at."""
+        found = self.rolling(values, size)
+        start = np.flatnonzero(row[: len(found)] == row[size - 1 :]) if len(found) else np.zeros(0, np.int64)
+        return found[start], start
+
+    def ranges(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, part: int = 1 << 18) -> np.ndarray:
+        """Hashes of ranges of bytes."""
+        length = end - start
+        out = np.empty(len(start), np.uint64)
+        short = np.flatnonzero(length <= self.SHORT)
+        sums = np.concatenate([[0], np.cumsum(length[short])])
+        at = 0
+        while at < len(short):
+            stop = max(at + 1, int(np.searchsorted(sums, sums[at] + part, side="right")) - 1)
+            some, size = short[at:stop], length[short[at:stop]]
+            head = sums[at:stop] - sums[at]
+            within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(head, size)
+            values = self.byte[data[np.repeat(start[some], size) + within]] * self.powers(self.SHORT)[within]
+            full = size > 0
+            found = np.zeros(len(some), np.uint64)
+            if full.any():
+                found[full] = np.add.reduceat(values, head[full])
+            out[some] = mix(found + size.astype(np.uint64) * self.base)
+            at = stop
+        long = np.flatnonzero(length > self.SHORT)
+        if len(long):
+            digest = lambda a, b: hashlib.blake2b(data[a:b], digest_size=8, key=self.seed).digest()
+            made = b"".join([digest(a, b) for a, b in zip(start[long].tolist(), end[long].tolist())])
+            out[long] = np.frombuffer(made, np.uint64)
+        return out
+
+
+def new_seed() -> bytes:
+    """A seed for the tasks of one run; drawn once, so that a repeated task hashes as before."""
+    return secrets.token_bytes(16)
+
+
+@lru_cache(maxsize=4)
+def keys_of(seed: bytes) -> Keys:
+    return Keys(seed)
+
+
 class Words:
     """Where the words of a batch are: ``start``, ``end`` (bytes), ``row``, and ``first`` word of each row."""
 
@@ -86,10 +176,12 @@ class Words:
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(rows), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, keys: Keys | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; the same in every run without keys."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
+        if keys:
+            return keys.ranges(self.data, self.start, self.end)
         length = self.end - self.start
         head = np.concatenate([[0], np.cumsum(length)[:-1]])
         within = np.arange(int(length.sum())) - np.repeat(head, length)

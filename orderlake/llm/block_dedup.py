@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlake.llm import exchange as ex
-from orderlake.llm.arrow_text import Words, flat, mix, per_row, rolling, slices
+from orderlake.llm.arrow_text import Keys, Words, flat, keys_of, mix, new_seed, per_row, slices
 from orderlake.llm.schema import added, without
 
 WINDOW = 50
@@ -46,39 +46,44 @@ _FIELDS = [
 class Chunk:
     """Word hashes of a chunk's documents, in the order of their ids and texts."""
 
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, keys: Keys):
         order = pc.sort_indices(table.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")])
         self.table = table = table.take(order).combine_chunks()
         self.ids = pc.fill_null(table["doc_id"].cast(pa.int64()), LAST).to_numpy()
+        self.keys = keys
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in table.select(["text"]).to_batches():
             for part in slices(batch):
                 words = Words(*flat(part.column(0)))
-                hashes.append(words.hashes())
+                hashes.append(words.hashes(keys))
                 counts.append(words.count)
         self.hashes, self.count = np.concatenate(hashes), np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
-        self.row = np.repeat(np.arange(len(self.count)), self.count)
-        self.doc = self.ids[self.row]
+        self.row = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
         self.long = np.flatnonzero(self.count >= window)
 
+    def doc(self, word: np.ndarray) -> np.ndarray:
+        """The ids of the documents that words belong to."""
+        return self.ids[self.row[word]]
+
     def starts(self, size: int) -> np.ndarray:
         """Words at which ``size`` words of one document start; documents under the window have none."""
         n = len(self.row) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32)
         ok = self.row[:n] == self.row[size - 1 :]
         short = np.ones(len(self.count), bool)
         short[self.long] = False
-        return np.flatnonzero(ok & ~short[self.row[:n]])
+        return np.flatnonzero(ok & ~short[self.row[:n]]).astype(np.int32)
 
     def whole(self) -> np.ndarray:
         """A hash of all words of each document that has a window."""
-        spread = np.zeros(len(self.hashes) + 1, np.uint64)
-        place = (np.arange(len(self.hashes)) - self.first[:-1][self.row]).astype(np.uint64)
-        np.cumsum(mix(self.hashes ^ mix(place + np.uint64(1))), out=spread[1:])
-        total = spread[self.first[1:]] - spread[self.first[:-1]]
-        return mix(total + self.count.astype(np.uint64))[self.long]
+        out = np.empty(len(self.long), np.uint64)
+        for i, d in enumerate(self.long):
+            a, b = self.first[d], self.first[d + 1]
+            place = np.arange(1, b - a + 1, dtype=np.uint64)
+            out[i] = mix(self.hashes[a:b] ^ mix(place)).sum(dtype=np.uint64)
+        return mix(out + self.count[self.long].astype(np.uint64))
 
 
 class Anchors:
@@ -86,23 +91,28 @@ class Anchors:
 
     def __init__(self, chunk: Chunk, block: int, buckets: int):
         self.start = chunk.starts(block)
-        code = ex.dealt(rolling(chunk.hashes, block)[self.start], buckets)
-        order = np.argsort(code, kind="stable")
-        self.code, head, self.which = np.unique(code, return_index=True, return_inverse=True)
+        code = ex.dealt(chunk.keys.rolling(chunk.hashes, block)[self.start], buckets)
+        order = np.argsort(code, kind="stable").astype(np.int32)
+        code = code[order]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        edge = np.flatnonzero(new)
+        self.code = code[edge]
+        self.which = np.empty(len(code), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
+        del code, new
         self.block = np.zeros(len(self.code), bool)
-        place = self.start - chunk.first[:-1][chunk.row[self.start]] if len(self.start) else self.start
-        self.block[self.which[place % block == 0]] = True
-        edge = np.searchsorted(code[order], self.code)
-        doc = chunk.doc[self.start][order]
+        first = chunk.first[:-1].astype(np.int32)
+        self.block[self.which[(self.start - first[chunk.row[self.start]]) % block == 0]] = True
+        self.several = np.zeros(0, bool)
         if len(edge):
+            doc = chunk.doc(self.start[order])
             self.several = np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)
-        else:
-            self.several = np.zeros(0, bool)
 
 
-def _question(window: int, buckets: int) -> Callable:
+def _question(window: int, buckets: int, seed: bytes) -> Callable:
     def ask(table: pa.Table) -> list[tuple[int, int, bytes]]:
-        chunk = Chunk(table, window)
+        chunk = Chunk(table, window, keys_of(seed))
         anchors = Anchors(chunk, window // 2, buckets)
         copies = ex.FirstDocs(chunk.whole(), chunk.ids[chunk.long], buckets).parts()
         parts = {b: (x, y) for b, x, y in ex.spans(anchors.code, buckets)}
@@ -154,7 +164,7 @@ def _candidates(chunk: Chunk, answers: dict[int, bytes], window: int, buckets: i
     word_hit[anchors.start + 1] = hit[anchors.which]
     width = window - window // 2 + 1  # blocks' worth of rolling windows inside a window
     start = chunk.starts(window)
-    sum_many, sum_hit = np.cumsum(word_many), np.cumsum(word_hit)
+    sum_many, sum_hit = np.cumsum(word_many, dtype=np.int32), np.cumsum(word_hit, dtype=np.int32)
     ok = (sum_many[start + width] - sum_many[start] == width) & (sum_hit[start + width] > sum_hit[start])
     skip = np.zeros(len(chunk.count), bool)
     skip[chunk.long[copied]] = True
@@ -172,11 +182,12 @@ def block_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CHU
     buckets = ex.chunk_count(docs, chunk_bytes)
     chunked = ex.in_chunks(docs, buckets)
     small = chunked.select("doc_id", "text", "chunk")  # in this order, so that its shuffle can be used again
+    seed = new_seed()
 
     def compare(table: pa.Table, answers: dict[int, bytes]) -> list[tuple[int, int, bytes]]:
-        chunk, me = Chunk(table, window), table["chunk"][0].as_py()
+        chunk, me = Chunk(table, window, keys_of(seed)), table["chunk"][0].as_py()
         start, skip = _candidates(chunk, answers, window, buckets)
-        asked = ex.FirstDocs(rolling(chunk.hashes, window)[start], chunk.doc[start], buckets)
+        asked = ex.FirstDocs(chunk.keys.rolling(chunk.hashes, window)[start], chunk.doc(start), buckets)
         flags = np.zeros(len(chunk.hashes), bool)
         flags[start] = True
         out = [(me, b, ex.packed(*p)) for b, p in asked.parts().items()]
@@ -192,13 +203,13 @@ def block_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CHU
     def remove(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in out_schema], schema=out_schema)
-        chunk, me = Chunk(table, window), table["chunk"][0].as_py()
+        chunk, me = Chunk(table, window, keys_of(seed)), table["chunk"][0].as_py()
         answers = ex.by_bucket(got)
         note = ex.unpacked(answers[ex.note_to_self(me)])
         start = np.flatnonzero(ex.from_bits(note[0], len(chunk.hashes)))
         skip = ex.from_bits(note[1], len(chunk.count))
-        asked = ex.FirstDocs(rolling(chunk.hashes, window)[start], chunk.doc[start], buckets)
-        gone = asked.smaller(answers) | (asked.docs[asked.which] < chunk.doc[start])
+        asked = ex.FirstDocs(chunk.keys.rolling(chunk.hashes, window)[start], chunk.doc(start), buckets)
+        gone = asked.smaller(answers) | (asked.docs[asked.which] < chunk.doc(start))
         depth = np.zeros(len(chunk.hashes) + 1, np.int64)
         np.add.at(depth, start[gone], 1)
         np.add.at(depth, start[gone] + window, -1)
@@ -207,7 +218,7 @@ def block_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ex.CHU
         return _removed(chunk, covered, columns, out_schema)
 
     out_schema = to_arrow_schema(schema)
-    asked = ex.ask(small, _question(window, buckets))
+    asked = ex.ask(small, _question(window, buckets, seed))
     first = ex.answer(asked, _anchor_answers)
     second = ex.answer(ex.ask_again(small, first, compare), first_documents)
     return chunked.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(remove, schema)

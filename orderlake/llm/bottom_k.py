@@ -16,9 +16,13 @@ margin; a join with the full sets counts the exact Jaccard similarity. Component
 from alternating stars.
 
 Null and empty texts and texts without words have an empty set and link with nothing; a
-text of fewer than five words has one shingle. Rows with the same id are different
-members of their set, and equal in the outcome. Other columns are not read; an empty table
-gives an empty result.
+text of fewer than five words has one shingle. Ids are numbers or texts. Rows with the same
+id are documents of their own: each belongs to its text's group, whose smallest id it gets.
+Other columns are not read; an empty table gives an empty result.
+
+Shingles are hashed with a seed of the run (``arrow_text.Keys``), so which pairs fall short of
+the candidates' small remaining chance differs from run to run, and no text can be made to
+share shingles it does not have.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlake.llm.arrow_text import Words, flat, mix, slices, windows
+from orderlake.llm.arrow_text import Words, flat, keys_of, mix, new_seed, slices
 from orderlake.llm.components import components
 from orderlake.llm.scratch import written
 
@@ -47,12 +51,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int = WORDS, seed: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Different shingle hashes of each text, ascending as signed numbers, and each text's bounds among them."""
     data, at = flat(texts)
     words = Words(_LOWER[data], at)
-    hashes = words.hashes()
-    found, start = windows(hashes, words.row, size)
+    keys = keys_of(seed)
+    hashes = words.hashes(keys)
+    found, start = keys.windows(hashes, words.row, size)
     row = words.row[start]
     few = np.flatnonzero((words.count > 0) & (words.count < size))
     if len(few):
@@ -76,21 +81,27 @@ def _list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, pa.int64()))
 
 
-def sketches(docs: DataFrame, size: int, keep: int) -> DataFrame:
+def _set_hashes(values: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A 128-bit hash of each set, in halves."""
+    count = np.diff(at).astype(np.uint64)
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values.view(np.uint64) ^ np.uint64(k)))]) for k in (1, 2)]
+    a, b = (mix((s[at[1:]] - s[at[:-1]]) + count).view(np.int64) for s in sums)
+    return pa.array(a), pa.array(b)
+
+
+def sketches(docs: DataFrame, size: int, keep: int, seed: bytes) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b`` (a 128-bit hash of the set) and ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                values, at = shingle_sets(batch.column(1), size)
+                values, at = shingle_sets(batch.column(1), size, seed)
                 count = np.diff(at)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values.view(np.uint64) ^ np.uint64(k)))]) for k in (1, 2)]
-                a, b = (mix((s[at[1:]] - s[at[:-1]]) + count.astype(np.uint64)).view(np.int64) for s in sums)
                 taken = np.minimum(count, keep)
                 edge = np.concatenate([[0], np.cumsum(taken)])
                 which = np.repeat(at[:-1] - edge[:-1], taken) + np.arange(int(edge[-1]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(count), pa.array(a), pa.array(b), _list_array(values[which], edge)],
+                    [batch.column(0), pa.array(count), *_set_hashes(values, at), _list_array(values[which], edge)],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
                 )
 
@@ -100,17 +111,20 @@ def sketches(docs: DataFrame, size: int, keep: int) -> DataFrame:
     )
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, shingles`` (ascending)."""
+def full_sets(docs: DataFrame, size: int, seed: bytes) -> DataFrame:
+    """``doc_id, set_a, set_b, shingles`` (ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                values, at = shingle_sets(batch.column(1), size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(values, at)], names=["doc_id", "shingles"])
+                values, at = shingle_sets(batch.column(1), size, seed)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *_set_hashes(values, at), _list_array(values, at)],
+                    names=["doc_id", "set_a", "set_b", "shingles"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_a long, set_b long, shingles array<long>")
 
 
 def estimated(a: Column, b: Column, keep: int) -> Column:
@@ -176,21 +190,21 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perce
 
 
 def _hot_links(hot: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links among documents that share a long list: ``value, doc_id`` with the number ``n`` of its entries."""
+    """Links among sets that share a long list: ``value, node`` with the number ``n`` of its entries."""
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks).cast("int")
-    # A document of block i goes to the pairs (i, i), (i, j) and (j, i) of its list.
+    own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+    # A set of block i goes to the pairs (i, i), (i, j) and (j, i) of its list.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = hot.withColumns({"blocks": blocks, "own": own}).withColumn("other", other)
     placed = placed.select(
-        "value", "doc_id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "value", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    rows = placed.join(sets, "doc_id")
+    rows = placed.join(sets, "node")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("doc_id").combine_chunks()
-        ids = t["doc_id"].to_numpy()
+        t = t.sort_by("node").combine_chunks()
+        ids = t["node"].to_numpy()
         values = t["shingles"].chunk(0) if t["shingles"].num_chunks else t["shingles"]
         offsets = values.offsets.to_numpy()
         flat_values = values.values.to_numpy()
@@ -203,29 +217,29 @@ def _hot_links(hot: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sketch: int = SKETCH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row a document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(sketches(docs, words, sketch), "sketches")
-    # One document a set; sets are equal where both halves of their hash are.
+    seed = new_seed()
+    rows = written(sketches(docs, words, sketch, seed), "sketches")
+    # One node a set; sets are equal where both halves of their hash are.
     sets = rows.where("n_shingles > 0").groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")
     )
-    sets = written(sets, "sets")
-    entries = sets.select("doc_id", F.explode("sketch").alias("value"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    entries = sets.select("node", F.explode("sketch").alias("value"))
     lengths = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = written(entries.join(lengths, "value"), "entries")
 
-    rare = entries.where(F.col("n") <= RARE).select("value", "doc_id")
+    rare = entries.where(F.col("n") <= RARE).select("value", "node")
     pairs = (
-        rare.withColumnRenamed("doc_id", "a")
-        .join(rare.withColumnRenamed("doc_id", "b"), "value")
+        rare.withColumnRenamed("node", "a")
+        .join(rare.withColumnRenamed("node", "b"), "value")
         .where("a < b")
         .select("a", "b")
         .distinct()
     )
-    brief = sets.select("doc_id", "n_shingles", "sketch")
+    brief = sets.select("node", "n_shingles", "sketch")
     for side in ("a", "b"):
         pairs = pairs.join(
-            brief.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")),
+            brief.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")),
             side,
         )
     sizes_fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -234,25 +248,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # A document with no more values than the sketch holds shows them all, so its share is exact.
     long = entries.where(F.col("n") > RARE)
-    shares = long.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_long"), F.sort_array(F.collect_list("value")).alias("values"))
-    crowded = shares.join(brief, "doc_id").where(F.col("n_long") >= HOT_SHARE * F.size("sketch"))
-    hot = crowded.select("doc_id", F.explode(F.slice("values", 1, HOT_KEYS)).alias("value"))
+    shares = long.groupBy("node").agg(F.count(F.lit(1)).alias("n_long"), F.sort_array(F.collect_list("value")).alias("values"))
+    crowded = shares.join(brief, "node").where(F.col("n_long") >= HOT_SHARE * F.size("sketch"))
+    hot = crowded.select("node", F.explode(F.slice("values", 1, HOT_KEYS)).alias("value"))
     hot_lengths = hot.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hot = written(hot.join(hot_lengths, "value"), "hot")
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("doc_id")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
+    wanted = sets.select("node", "doc_id", "set_a", "set_b").join(wanted, "node")
     # Texts go through the shuffle at any size, so that what a run moves grows as its input does.
-    shingles = written(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "shingles")
+    shingles = full_sets(docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), words, seed)
+    # Rows with the same id may have different sets; each is looked up by its own.
+    shingles = shingles.join(wanted, ["doc_id", "set_a", "set_b"]).select("node", "shingles")
+    shingles = written(shingles.dropDuplicates(["node"]), "shingles")
     for side in ("a", "b"):
-        pairs = pairs.join(shingles.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+        pairs = pairs.join(shingles.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     both = F.size(F.array_intersect("s_a", "s_b"))
     links = pairs.where(_similar(both, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    links = links.unionByName(_hot_links(hot, shingles, percent, BLOCK).select(F.col("a").cast(kind), F.col("b").cast(kind)))
-    found = components(links)
-    whole = sets.select("set_a", "set_b", F.col("doc_id").alias("node")).join(found, "node", "left")
-    whole = whole.select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    found = written(components(links.unionByName(_hot_links(hot, shingles, percent, BLOCK))), "components")
+    owners = found.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    whole = sets.select("set_a", "set_b", "node", "doc_id").join(found, "node", "left").join(owners, "component", "left")
+    whole = whole.select("set_a", "set_b", F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.join(whole, ["set_a", "set_b"], "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 

@@ -16,6 +16,7 @@ Rows may repeat; a column that has the name of an added one gives way to it.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -126,8 +127,8 @@ def _byte_model(vocabulary: str):
 
 
 def _word_tokens(different: list[bytes]) -> np.ndarray:
-    encode = encoder(WORD_VOCABULARY).encode
-    return np.fromiter((len(encode(w.decode())) // 4 for w in different), np.int64, len(different))
+    ids = encoder(WORD_VOCABULARY).encode_all([w.decode() for w in different])
+    return np.fromiter((len(x) // 4 for x in ids), np.int64, len(different))
 
 
 def _byte_tokens(different: list[bytes]) -> np.ndarray:
@@ -160,9 +161,15 @@ def repeated_lines(words: Words) -> np.ndarray:
     worded = np.diff(word) > 0
     row, key = (np.searchsorted(at, start, side="right") - 1)[worded], key[worded]
     group, sizes = first_mask(row, key)
-    row_of_group = np.zeros(len(sizes), np.int64)
-    row_of_group[group] = row
-    return np.bincount(row, minlength=rows) - np.bincount(row_of_group, minlength=rows)
+    # Hashes only say which lines may be equal; their bytes decide.
+    maybe = np.flatnonzero(sizes[group] > 1)
+    start, end = start[worded][maybe], (start + length)[worded][maybe]
+    out, seen, raw = np.zeros(rows, np.int64), set(), data.tobytes()
+    for r, a, b in zip(row[maybe].tolist(), start.tolist(), end.tolist()):
+        line = (r, raw[a:b])
+        out[r] += line in seen
+        seen.add(line)
+    return out
 
 
 def repeated_words(words: Words, hashes: np.ndarray, size: int = 3) -> np.ndarray:
@@ -170,8 +177,15 @@ def repeated_words(words: Words, hashes: np.ndarray, size: int = 3) -> np.ndarra
     found, start = windows(hashes, words.row, size)
     covered = np.zeros(len(hashes) + size, bool)
     if len(found):
-        group, sizes = first_mask(words.row[start], found)
-        twice = start[sizes[group] > 1]
+        row = words.row[start]
+        group, sizes = first_mask(row, found)
+        maybe = start[sizes[group] > 1]
+        # Hashes only say which windows may be equal; their words decide.
+        places = (maybe[:, None] + np.arange(size)).ravel()
+        taken = iter(words.take(places))
+        kept = list(zip(words.row[maybe].tolist(), zip(*[taken] * size)))
+        counts = Counter(kept)
+        twice = maybe[np.fromiter((counts[w] > 1 for w in kept), bool, len(kept))]
         for k in range(size):
             covered[twice + k] = True
     return per_row(covered[: len(hashes)], words.first)

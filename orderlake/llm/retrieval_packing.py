@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlake.llm import crc
+from orderlake.llm.arrow_text import slices
 from orderlake.llm.scratch import written
 from orderlake.llm.word_tokens import encoder
 
@@ -45,10 +46,10 @@ def encoded_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
-            for value in batch.column(1):
-                ids = words.encode(value.as_py() or "") + end
+            for ids in words.encode_all([t or "" for t in batch.column(1).to_pylist()]):
+                ids += end
                 terms, tfs = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
                 rows.append((
                     len(ids) // 4,

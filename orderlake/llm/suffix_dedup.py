@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlake.llm import exchange as ex
-from orderlake.llm.arrow_text import _BYTE, _inverse_powers, flat, mix, powers, rolling
+from orderlake.llm.arrow_text import Keys, flat, keys_of, mix, new_seed
 from orderlake.llm.schema import added, without
 from orderlake.llm.suffix_array import equal_prefixes, suffix_array
 
@@ -68,7 +68,8 @@ def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 class Chunk:
     """Segments of a chunk's documents, in the order of their ids and texts."""
 
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, keys: Keys):
+        self.keys = keys
         order = pc.sort_indices(table.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")])
         self.table = table = table.take(order).combine_chunks()
         self.ids = pc.fill_null(table["doc_id"].cast(pa.int64()), LAST).to_numpy()
@@ -94,7 +95,7 @@ class Chunk:
         window, size = self.window, self.window // 2 + 1
         if high - low < window:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        least = _sliding_min(rolling(_BYTE[self.data[low:high]], size), window - size + 1)
+        least = _sliding_min(self.keys.rolling(self.keys.byte[self.data[low:high]], size), window - size + 1)
         row = np.zeros(high - low, np.int32)
         heads = self.at[(self.at > low) & (self.at < high)] - low
         np.add.at(row, heads, 1)
@@ -107,25 +108,12 @@ class Chunk:
         good = ok[start]
         return low + start[good], low + stop[good], least[start[good]]
 
-    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges; the ranges ascend."""
-        out = np.zeros(len(start), np.uint64)
-        for low, high in self._parts():
-            a, b = np.searchsorted(start, [low, high])
-            if a == b:
-                continue
-            total = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTE[self.data[low:high]] * powers(high - low), out=total[1:])
-            x, y = start[a:b] - low, end[a:b] - low
-            out[a:b] = (total[y] - total[x]) * _inverse_powers(high - low)[x]
-        return mix(out ^ mix((end - start).astype(np.uint64)))
-
     def whole(self) -> np.ndarray:
-        return self._hash(self.at[:-1][self.long], self.at[1:][self.long])
+        return self.keys.ranges(self.data, self.at[:-1][self.long], self.at[1:][self.long])
 
     def contents(self, which: np.ndarray) -> np.ndarray:
         """Hashes of whole segments."""
-        return self._hash(self.start[which], self.stop[which] + self.window - 1)
+        return self.keys.ranges(self.data, self.start[which], self.stop[which] + self.window - 1)
 
     def windows(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(place, hash, document) of all windows of segments, some documents at a time; the segments ascend."""
@@ -136,7 +124,7 @@ class Chunk:
             some = which[a:b]
             size = self.stop[some] - self.start[some]
             place = np.repeat(self.start[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            value = rolling(_BYTE[self.data[low:high]], self.window)[place - low]
+            value = self.keys.rolling(self.keys.byte[self.data[low:high]], self.window)[place - low]
             yield place, value, np.repeat(self.doc[some], size)
 
 
@@ -200,12 +188,12 @@ class Contents:
         self.of[order] = np.cumsum(new) - 1
 
 
-def _first_question(window: int, buckets: int, sort_bytes: int = SORT_BYTES):
+def _first_question(window: int, buckets: int, seed: bytes, sort_bytes: int = SORT_BYTES):
     # Sizes below this in every chunk stay under half the bound together.
     least = max(1, sort_bytes // (2 * buckets))
 
     def ask(table: pa.Table) -> list[tuple[int, int, bytes]]:
-        chunk, me = Chunk(table, window), table["chunk"][0].as_py()
+        chunk, me = Chunk(table, window, keys_of(seed)), table["chunk"][0].as_py()
         samples = Samples(chunk, buckets)
         copies = ex.FirstDocs(chunk.whole(), chunk.ids[chunk.long], buckets).parts()
         parts = {b: (x, y) for b, x, y in ex.spans(samples.code, buckets)}
@@ -247,9 +235,9 @@ def _name_samples(sort_bytes: int = SORT_BYTES):
     return reply
 
 
-def _second_question(window: int, buckets: int):
+def _second_question(window: int, buckets: int, seed: bytes):
     def ask(table: pa.Table, answers: dict[int, bytes]) -> list[tuple[int, int, bytes]]:
-        chunk, me = Chunk(table, window), table["chunk"][0].as_py()
+        chunk, me = Chunk(table, window, keys_of(seed)), table["chunk"][0].as_py()
         samples = Samples(chunk, buckets)
         got = {b: ex.unpacked(p) for b, p in answers.items()}
         many, crowded = np.zeros(len(samples.code), bool), np.zeros(len(samples.code), bool)
@@ -304,9 +292,9 @@ def _name_contents(payloads: list[bytes]) -> list[bytes]:
     ]
 
 
-def _third_question(window: int, buckets: int):
+def _third_question(window: int, buckets: int, seed: bytes):
     def ask(table: pa.Table, answers: dict[int, bytes]) -> list[tuple[int, int, bytes]]:
-        chunk, me = Chunk(table, window), table["chunk"][0].as_py()
+        chunk, me = Chunk(table, window, keys_of(seed)), table["chunk"][0].as_py()
         note = ex.unpacked(answers[ex.note_to_self(me)])
         maybe = ex.from_bits(note[0], len(chunk.start))
         contents = Contents(chunk, np.flatnonzero(maybe), buckets)
@@ -411,11 +399,12 @@ def suffix_dedup(
     buckets = ex.chunk_count(docs, chunk_bytes)
     chunked = ex.in_chunks(docs, buckets)
     small = chunked.select("doc_id", "text", "chunk")  # in this order, so that its shuffle can be used again
+    seed = new_seed()
 
     def remove(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
             return out_schema.empty_table()
-        chunk, me = Chunk(table, window), table["chunk"][0].as_py()
+        chunk, me = Chunk(table, window, keys_of(seed)), table["chunk"][0].as_py()
         answers = ex.by_bucket(got)
         note = ex.unpacked(answers[ex.note_to_self(me)])
         contents = Contents(chunk, np.flatnonzero(ex.from_bits(note[0], len(chunk.start))), buckets)
@@ -458,9 +447,9 @@ def suffix_dedup(
             covered[chunk.at[r] : chunk.at[r + 1]] = True
         return _removed(chunk, covered, columns, out_schema)
 
-    named = ex.answer(ex.ask(small, _first_question(window, buckets, sort_bytes)), _name_samples(sort_bytes))
-    named = ex.answer(ex.ask_again(small, named, _second_question(window, buckets)), _name_contents)
-    sorted_ = ex.answer(ex.ask_again(small, named, _third_question(window, buckets)), _sort_bucket(window, sort_bytes))
+    named = ex.answer(ex.ask(small, _first_question(window, buckets, seed, sort_bytes)), _name_samples(sort_bytes))
+    named = ex.answer(ex.ask_again(small, named, _second_question(window, buckets, seed)), _name_contents)
+    sorted_ = ex.answer(ex.ask_again(small, named, _third_question(window, buckets, seed)), _sort_bucket(window, sort_bytes))
     return chunked.groupBy("chunk").cogroup(sorted_.groupBy("chunk")).applyInArrow(remove, schema)
 
 

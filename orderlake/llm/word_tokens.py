@@ -16,10 +16,11 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 600_000
-_END = b"\xff"  # stands for the end of a word; no UTF-8 text holds it
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 180  # what a word and its ids take beside their own bytes
+_END = "\x01"  # stands for the end of a piece; no plain word holds it
+_ODD = re.compile("[^!-~À-ÖØ-öø-ÿ\n]").search
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -36,38 +37,61 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        suffix = spec["model"]["end_of_word_suffix"]
-        byte = _byte_of_char()
-        ranks = {}
+        suffix, byte, mark = spec["model"]["end_of_word_suffix"], _byte_of_char(), _END.encode()
+        ranks, last = {mark: len(spec["model"]["vocab"])}, []
         for token, i in spec["model"]["vocab"].items():
             ends = token.endswith(suffix) and len(token) > len(suffix)
-            body = token[: -len(suffix)] if ends else token
-            ranks[bytes(byte[c] for c in body) + (_END if ends else b"")] = i
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        self.vocabulary = 1 + max(max(ranks.values()), *(x["id"] for x in spec["added_tokens"]))
-        self.merge = tiktoken.Encoding(
-            "words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}
-        )._core_bpe.encode_single_piece
+            body = bytes(byte[c] for c in (token[: -len(suffix)] if ends else token))
+            if mark not in body:
+                ranks[body + (mark if ends else b"")] = i
+                last += [i] * ends
+        special = spec["added_tokens"]
+        self.vocabulary = 1 + max(max(spec["model"]["vocab"].values()), *(x["id"] for x in special))
+        self._has_special = re.compile("|".join(re.escape(x["content"]) for x in special) or "(?!)").search
+        self._is_last = np.zeros(len(spec["model"]["vocab"]) + 1, bool)
+        self._is_last[last] = True
+        self._merge = tiktoken.Encoding(
+            "pieces", pat_str=f"[^{_END}\n]+{_END}", mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
         self.words: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def _ids(self, word: str) -> list[int]:
-        if _PLAIN(word) and not any(s in word for s in self.special):
-            ids = []
-            for piece in _PIECES(word.lower()):
-                ids += self.merge(piece.encode() + _END)
-            return ids
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words; plain ones go through the merges together, a word a line and a mark after each piece."""
+        text = b"\n".join(words).decode()
+        if _ODD(text) or self._has_special(text):
+            other = {word.encode() for word in text.split("\n") if _ODD(word) or self._has_special(word)}
+            for word in other:
+                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                self.words[word] = np.array(ids, "<u4").tobytes()
+            words = [word for word in words if word not in other]
+            text = b"\n".join(words).decode()
+            self.held += sum(len(word) + len(self.words[word]) + ENTRY_BYTES for word in other)
+        if words:
+            marked = _PIECES.sub("\\g<0>" + _END, text.lower())
+            ids = np.array(self._merge(marked), "<u4")
+            raw = np.frombuffer(marked.encode(), np.uint8)
+            pieces = np.searchsorted(np.flatnonzero(raw == ord(_END)), np.append(np.flatnonzero(raw == 10), len(raw)))
+            ends = (4 * (np.flatnonzero(self._is_last[ids]) + 1)[pieces - 1]).tolist()
+            made = ids.tobytes()
+            self.words.update(zip(words, map(made.__getitem__, map(slice, [0, *ends], ends))))
+            self.held += len(text) + len(made) + ENTRY_BYTES * len(words)
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        new = set(words).difference(self.words)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        split = [text.encode().split() for text in texts]
+        new = set().union(*split).difference(self.words)
+        if self.held > CACHE_BYTES:
+            self.words.clear()
+            self.held = 0
+            new = set().union(*split)
         if new:
-            if len(self.words) + len(new) > CACHE_WORDS:
-                self.words.clear()
-                new = set(words)
-            for word in new:
-                self.words[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, words))
+            self._learn(list(new))
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=1)

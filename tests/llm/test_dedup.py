@@ -121,8 +121,8 @@ def test_no_sort_holds_a_common_phrase(monkeypatch):
                 out[m[0]][b] = p
         return out
 
-    first, second, third = suffix_dedup._first_question(50, buckets, bound), *(
-        q(50, buckets) for q in (suffix_dedup._second_question, suffix_dedup._third_question)
+    first, second, third = suffix_dedup._first_question(50, buckets, b"seed", bound), *(
+        q(50, buckets, b"seed") for q in (suffix_dedup._second_question, suffix_dedup._third_question)
     )
     got = answers([m for t in tables for m in first(t)], suffix_dedup._name_samples(bound))
     got = answers([m for c, t in enumerate(tables) for m in second(t, got[c])], suffix_dedup._name_contents)
@@ -280,3 +280,45 @@ def test_vectors_with_equal_or_no_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.001]), (None, [1.0, 0.0]), (3, [0.0, 1.0])]
     got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 0, None, True), (3, 0, 3, True)], key=str)
+
+
+# Texts that meet in any polynomial hash modulo 2**64, whatever its base: the signs of Thue and Morse.
+SIGNS = [bin(i).count("1") & 1 for i in range(2048)]
+
+
+def _twins(n, filler):
+    """Two texts of ``n`` characters with fillers that no other place has, alike but for one character after each."""
+    rng = random.Random(n)
+    fill = ["".join(rng.choices("cdefghijkl", k=filler)) for _ in SIGNS]
+    return ["".join(f + "ab"[s ^ flip] for f, s in zip(fill, SIGNS)) for flip in (0, 1)]
+
+
+def test_bytes_that_meet_in_polynomials_are_not_removed(spark):
+    texts = _twins(1, 39)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.suffix_dedup(docs).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_words_that_meet_in_polynomials_are_different(spark):
+    from orderlake.llm.fertility import fertility
+
+    pairs = [_twins(i, 1) for i in range(60)]
+    texts = [" ".join(p[k] for p in pairs) for k in (0, 1)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert [r.n_removed for r in block_dedup(docs, 50).collect()] == [0, 0]
+    got = bottom_k.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1)}
+    both = spark.createDataFrame([(0, " ".join([p[0] for p in pairs[:3]] + [p[1] for p in pairs[:3]]), "en")], docs.schema)
+    assert fertility(both, "piece_bpe_32k.model").first().n_repeat_words == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    base, other = [f"b{i}" for i in range(60)], [f"o{i}" for i in range(60)]
+    text = lambda words, last: " ".join([*words, last])
+    rows = [(1, text(base, "x")), (1, text(other, "x")), (5, text(other, "y")), (6, text(base, "y")), (7, "lone words here")]
+    got = bottom_k.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 7)]
+    named = spark.createDataFrame([(f"id {d}", t) for d, t in rows], "doc_id string, text string")
+    got = bottom_k.near_duplicates(named).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(f"id {a}", f"id {b}") for a, b in [(1, 1), (1, 1), (5, 1), (6, 1), (7, 7)]]

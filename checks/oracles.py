@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import SEARCH_LIMIT, SEARCHES
+from checks.queries import BATCH_TEXTS, INDEXED, SEARCH_LIMIT, SEARCHES
 from orderlake.fixtures import (
     BROKEN_LINE_SQL,
     EMPTY_ARRAY,
@@ -116,12 +116,12 @@ def _tier(q: str) -> str:
     )
 
 
-def _ranked(q: str, columns: str) -> str:
+def _ranked(q: str, columns: str, limit: int = SEARCH_LIMIT) -> str:
     return f"""
       select {columns} from (
         select *, row_number() over (order by tier, Ingest_Key) as Rank, min(tier) over () as best
         from (select *, {_tier(q)} as tier from lines) where tier is not null)
-      where Rank <= {SEARCH_LIMIT} and (best >= 0 or tier = best)"""
+      where Rank <= {limit} and (best >= 0 or tier = best)"""
 
 
 # Pages: slips and documents, with the route and what the rule-based reader says.
@@ -339,6 +339,14 @@ ORACLES = {
       {' or '.join(f"contains(lower({c}), 'city 1')" for c in SEARCH_COLUMNS)}""",
     "search_ranked": f"with {_LINES} " + " union all ".join(
         _ranked(q, f"{_KEYED}, '{q}' as Query, Rank") for q in SEARCHES),
+    "search_indexed": f"with {_LINES} " + " union all ".join(
+        f"select Ingest_Key, '{q}' as Query from lines where " + (
+            _any_match(q) if mode == "regex" else " or ".join(f"contains(lower({c}), '{q.lower()}')" for c in SEARCH_COLUMNS))
+        for q, mode in INDEXED),
+    "search_batch": f"with {_LINES} " + " union all ".join([
+        *(f"""select Ingest_Key, {c} as Query, row_number() over (partition by {c} order by Ingest_Key) as Rank
+          from lines where {c} <> '' qualify Rank <= 3""" for c in ("Order_Number", "Email")),
+        *(_ranked(q.strip(), f"Ingest_Key, '{q.strip()}' as Query, Rank", 3) for q in BATCH_TEXTS if q)]),
     "search_count": f"with {_LINES} select count(*) as matches from lines where {_any_match('ring')}",
     "vector_topk": """with means as (
         select label, i, avg(cast(embedding[i] as double)) as m

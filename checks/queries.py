@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from orderlake.functions.products import category_of
 from orderlake.functions.text import blank_if_null, zip_prefix
 from orderlake.functions.values import clean_order_number
 from orderlake.operators import filters, mutate, orders, projection, search, typed, vector
+from orderlake.operators.search_index import SearchIndex
 from orderlake.plans import anonymize as anon
 from orderlake.plans import audit as audits
 from orderlake.plans import extract, reports
@@ -40,6 +42,8 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 SCRUB = ["ACME", "BUILDING"]
 SEARCHES = ["12", "ring", "customer.000000007@example.com", "city 1[0-9]"]
 SEARCH_LIMIT = 100
+INDEXED = [("Ring|CITY 2", "regex"), ("City 1", "literal"), ("al", "literal"), (r"customer[.#]0+7@.*\.com", "regex"), (r"^[a-z]{2}$", "regex")]
+BATCH_TEXTS = ["ring", "city 1[0-9]", " Smpl ", "(steel|red) b", "^.?5$", "no such text", "9999999", "nobody@example.com", ""]
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,6 +239,30 @@ def search_ranked(spark, sf):
     return found.withColumn("Rank", F.col("Rank").cast("bigint"))
 
 
+def search_indexed(spark, sf):
+    """Matches of several patterns and literals through one index; the last has nothing to look up."""
+    lines = _written(spark, "indexed", _lines(spark, sf))
+    index = SearchIndex(spark, scratch_path(spark, "index"), lines, buckets=16).build()
+    found = [index.search_text(q, mode).select(INGEST_KEY, F.lit(q).alias("Query")) for q, mode in INDEXED]
+    return reduce(DataFrame.unionByName, found)
+
+
+def search_batch(spark, sf):
+    """Every order number and email of the lines, and some texts, as one table of queries."""
+    lines = _written(spark, "batch", _lines(spark, sf))
+    index = SearchIndex(spark, scratch_path(spark, "index"), lines, buckets=16).build()
+    texts = spark.createDataFrame([(q,) for q in BATCH_TEXTS], "query string")
+    asked = texts.union(lines.select("Order_Number")).union(lines.select("Email"))
+    found = index.search_table(asked, limit=3)
+    return found.select(INGEST_KEY, "Query", F.col("Rank").cast("bigint").alias("Rank"))
+
+
+def _written(spark, purpose, df):
+    path = scratch_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def search_count(spark, sf):
     return search.search_count(_lines(spark, sf), "ring")
 
@@ -495,6 +523,8 @@ QUERIES = {
     "search_text": search_text,
     "search_literal": search_literal,
     "search_ranked": search_ranked,
+    "search_indexed": search_indexed,
+    "search_batch": search_batch,
     "search_count": search_count,
     "vector_topk": vector_topk,
     "csv_roundtrip": csv_roundtrip,

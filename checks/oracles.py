@@ -359,6 +359,11 @@ ORACLES = {
         select *, row_number() over (partition by label order by score desc, vec_id) as rank from scored)
       select cast(label as bigint) as query_id, rank, vec_id, round(score, 6) as score
       from ranked where rank <= 10""",
+    "vector_topk_many": """with unit as (select vec_id, cast(embedding as double[]) as v from embeddings),
+      scored as (select q.vec_id as query_id, u.vec_id, list_cosine_similarity(q.v, u.v) as score from unit q, unit u),
+      ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+      select query_id, count(*) as found, round(min(score), 5) as least, round(sum(score), 4) as total
+      from ranked where rank <= 5 group by 1""",
     "csv_roundtrip": f"with {_raw()} select {_COLS} from raw",
     "csv_split_read": f"""with {_raw()} select {_COLS} from (
       select * replace ({BROKEN_LINE_SQL} as Shipping_Address_Line2) from raw)""",

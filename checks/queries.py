@@ -273,6 +273,18 @@ def vector_topk(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+def vector_topk_many(spark, sf):
+    """Every vector as a query, in small tiles: how many neighbours each finds and how near they are."""
+    vectors = fx.table(spark, sf, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vector.vector_tiles(vectors, queries, k=5, tile_rows=2_000, tile_queries=500)
+    return found.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("found"),
+        F.round(F.min("score"), 5).alias("least"),
+        F.round(F.sum("score"), 4).alias("total"),
+    )
+
+
 # Sources, sinks and the record store
 
 _STORED = [INGEST_KEY, "document", *[c.lower() for c in ORDER_LINE_COLUMNS]]
@@ -527,6 +539,7 @@ QUERIES = {
     "search_batch": search_batch,
     "search_count": search_count,
     "vector_topk": vector_topk,
+    "vector_topk_many": vector_topk_many,
     "csv_roundtrip": csv_roundtrip,
     "csv_split_read": csv_split_read,
     "store_rebuild": store_rebuild,

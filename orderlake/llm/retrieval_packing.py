@@ -34,6 +34,7 @@ END_ID = 1
 SHARD_DOCS = 4096
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
+SLICE_BYTES = 2 << 20
 
 _COUNTED = "doc_id {id}, n_tokens long, crcs binary, terms binary, tfs binary"
 _PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,10 +47,11 @@ def encoded_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, limit=SLICE_BYTES)):
             rows = []
-            for ids in words.encode_all([t or "" for t in batch.column(1).to_pylist()]):
-                ids += end
+            every, at = words.encode_column(batch.column(1))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                ids = every[a:b].tobytes() + end
                 terms, tfs = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
                 rows.append((
                     len(ids) // 4,

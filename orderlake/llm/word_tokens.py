@@ -13,9 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
+from orderlake.llm.arrow_text import Words, flat
+
 CACHE_BYTES = 64 << 20
 ENTRY_BYTES = 180  # what a word and its ids take beside their own bytes
 _END = "\x01"  # stands for the end of a piece; no plain word holds it
@@ -77,18 +80,39 @@ class WordEncoder:
             self.words.update(zip(words, map(made.__getitem__, map(slice, [0, *ends], ends))))
             self.held += len(text) + len(made) + ENTRY_BYTES * len(words)
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [text.encode().split() for text in texts]
-        new = set().union(*split).difference(self.words)
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
         if self.held > CACHE_BYTES:
             self.words.clear()
             self.held = 0
-            new = set().union(*split)
+        new = [word for word in words if word not in self.words]
         if new:
-            self._learn(list(new))
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+            self._learn(new)
+        return list(map(self.words.__getitem__, words))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin (one more entry than texts)."""
+        words = Words(*flat(texts))
+        length = words.end - words.start
+        ends = np.concatenate([[0], np.cumsum(length)])
+        solid = words.data[words.solid]
+        made = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(length), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(solid)]
+        ).dictionary_encode()
+        # Each different word is looked up once, and its ids go wherever it stands.
+        known = self._known(made.dictionary.to_pylist())
+        which = made.indices.to_numpy()
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(size) - size
+        count = size[which]
+        total = np.concatenate([[0], np.cumsum(count)])
+        place = np.repeat(begin[which] - total[:-1], count) + np.arange(int(total[-1]))
+        return np.frombuffer(b"".join(known), "<u4")[place], total[words.first]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

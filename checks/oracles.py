@@ -397,6 +397,7 @@ ORACLES = {
     "stream_extract": _RECORDS,
     "run_extraction": _RECORDS,
     "stream_restart": _RECORDS,
+    "stream_retry": _RECORDS,
     "store_reload": f"with {_raw()} select * exclude (Ingest_Key) from ({_stored()})",
     "import_counters": f"""with {_raw()}, {_NAMES},
       counts as (select count(*) as n, count(*) filter (Shipping_State <= 'IL') as early from raw)
@@ -411,6 +412,10 @@ ORACLES = {
       select cast(date_trunc('month', Date_parsed) as date) as Month,
         coalesce(cast(sum(Total_Amount) as double), 0.0) as revenue
       from ord where Date_parsed is not null group by 1""",
+    "lookup_by_id": f"""with {_ORDERS} select * from ({_stored()})
+      where Ingest_Key in (select Ingest_Key from ord)""",
+    "private_mapping": f"""with {_NAMES} select arg_min(Customer_Name, Ingest_Key) as real_name,
+      true as own_name, true as has_email from names group by {_KEY}""",
     "source_quality": f"""with {_NAMES} select count(*) as lines,
       count(*) filter ({_clean('Order_Number')} = '') as unusable_order_numbers,
       count(*) filter (length(regexp_replace(Shipping_Zip, '[^0-9]', '', 'g')) = 4) as four_digit_zips

@@ -7,7 +7,7 @@ import tempfile
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.slip_reader import SLIP_READER
@@ -27,6 +27,7 @@ from orderlake.sources.csv_lines import read_order_lines, write_order_lines
 from orderlake.sources.pages import read_pages
 from orderlake.sources.record_store import RecordStore, to_records
 from orderlake.streaming.ingest import read_log, stream_extraction
+from orderlake.streaming.keyed import finish, stream_extraction_by_page
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
@@ -351,6 +352,13 @@ def store_delete(spark, sf):
     return store.records().select(*_STORED)
 
 
+def lookup_by_id(spark, sf):
+    """The records of every order's first line, by id; ids without a record give none."""
+    ids = fx.record_ids(_orders(spark, sf))
+    unknown = ids.select(F.sha2(F.concat(F.lit("unknown "), "id"), 256).alias("id"))
+    return _filled_store(spark, sf).get(ids.unionByName(unknown)).select(*_STORED)
+
+
 def store_reload(spark, sf):
     """CSV files loaded, others put among them, and all of them loaded again."""
     base = scratch_path(spark, "reload")
@@ -452,6 +460,22 @@ def stream_restart(spark, sf):
     return extract.records_of(read_log(spark, f"{base}/log")).drop("line_no")
 
 
+def stream_retry(spark, sf):
+    """A third of the pages at a time, texts unreadable at first: one log, by page, with the failed ones read again."""
+    def down(_client, _page):
+        raise RuntimeError("no service")
+
+    base = scratch_path(spark, "retry")
+    third = F.pmod(F.xxhash64("path", "page_index"), F.lit(3))
+    pages = fx.page_table(spark, sf)
+    for n, reader in enumerate((replace(SLIP_READER, read_text=down), SLIP_READER, SLIP_READER)):
+        pages.filter(third == n).write.mode("append").parquet(f"{base}/pages")
+        finish(stream_extraction_by_page(
+            spark, f"{base}/pages", f"{base}/log", f"{base}/checkpoint", reader, delay_seconds=1.0,
+        ), idle_seconds=1.5)
+    return extract.records_of(read_log(spark, f"{base}/log")).drop("line_no")
+
+
 def page_source(spark, sf):
     """Pages written as a table and read back through the range filter."""
     path = scratch_path(spark, "pages")
@@ -497,6 +521,16 @@ def anonymize_job(spark, sf):
     return reports.revenue_by_month(orders.order_level(silver))
 
 
+def private_mapping(spark, sf):
+    """The mapping that the job leaves: a row a customer, under the first spelling of the name."""
+    path = scratch_path(spark, "mapping")
+    anon.anonymize(fx.raw_names(spark, sf), f"{path}/public", f"{path}/private", SCRUB)
+    mapping = spark.read.options(header=True, quote='"', escape='"').csv(f"{path}/private/mapping")
+    named = mapping.select(F.coalesce("real_name", F.lit("")).alias("real_name"), "fake_name", "fake_email")
+    alike = F.count(F.lit(1)).over(Window.partitionBy("fake_name"))
+    return named.select("real_name", (alike == 1).alias("own_name"), F.col("fake_email").contains("@").alias("has_email"))
+
+
 def source_quality(spark, sf):
     return audits.source_quality(fx.raw_names(spark, sf))
 
@@ -547,6 +581,7 @@ QUERIES = {
     "store_update": store_update,
     "store_delete": store_delete,
     "store_reload": store_reload,
+    "lookup_by_id": lookup_by_id,
     "import_counters": import_counters,
     "text_sufficiency": text_sufficiency,
     "page_routing": page_routing,
@@ -560,8 +595,10 @@ QUERIES = {
     "stream_extract": stream_extract,
     "run_extraction": run_extraction,
     "stream_restart": stream_restart,
+    "stream_retry": stream_retry,
     "anonymize_rules": anonymize_rules,
     "anonymize_audit": anonymize_audit,
     "anonymize_job": anonymize_job,
+    "private_mapping": private_mapping,
     "source_quality": source_quality,
 }

@@ -5,7 +5,7 @@
     extract   PAGES LOG READER [--parallelism N] [--images PATTERN]
     export    STORE OUT_DIR
     report    STORE TABLES_DIR [NAME ...]
-    search    STORE QUERY [--limit N] [--literal]
+    search    STORE QUERY [--limit N] [--literal] [--out DIR]
 
 READER names an object of the caller's, as ``package.module:NAME``. ``report``
 writes each report as a table beside the two it rests on.
@@ -15,17 +15,24 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import os
+import sys
 
-from orderlake.functions.text import split_tokens
-from orderlake.operators.projection import browse, rename_to_display
-from orderlake.plans.anonymize import anonymize
-from orderlake.plans.extract import run_counters, run_extraction
-from orderlake.plans.tables import all_reports, build_tables
-from orderlake.schema import INGEST_KEY
-from orderlake.session import build_session
-from orderlake.sources.csv_lines import read_order_lines, write_order_lines
-from orderlake.sources.pages import read_page_files, read_pages
-from orderlake.sources.record_store import RecordStore
+if not __package__:
+    # Run as a script, by spark-submit: the package lies in the folder above.
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from orderlake.functions.text import split_tokens  # noqa: E402
+from orderlake.operators.projection import browse, rename_to_display  # noqa: E402
+from orderlake.plans.anonymize import anonymize  # noqa: E402
+from orderlake.plans.extract import run_counters, run_extraction  # noqa: E402
+from orderlake.plans.tables import all_reports, build_tables  # noqa: E402
+from orderlake.schema import INGEST_KEY  # noqa: E402
+from orderlake.session import build_session  # noqa: E402
+from orderlake.shipping import ship  # noqa: E402
+from orderlake.sources.csv_lines import read_order_lines, write_order_lines  # noqa: E402
+from orderlake.sources.pages import read_page_files, read_pages  # noqa: E402
+from orderlake.sources.record_store import RecordStore  # noqa: E402
 
 
 def _displayed(store: RecordStore):
@@ -62,9 +69,11 @@ def main(argv: list[str] | None = None) -> None:
     job.add_argument("query")
     job.add_argument("--limit", type=int, default=100)
     job.add_argument("--literal", action="store_true")
+    job.add_argument("--out", help="write the records found there, as Parquet, instead of showing them")
     args = parser.parse_args(argv)
 
     spark = build_session(f"orderlake-{args.job}")
+    ship(spark)
     if args.job == "anonymize":
         lines = read_order_lines(spark, args.source)
         print(anonymize(lines, args.public, args.private, split_tokens(args.scrub)))
@@ -92,7 +101,10 @@ def main(argv: list[str] | None = None) -> None:
     else:
         mode = "literal" if args.literal else "regex"
         found = RecordStore(spark, args.store).search(args.query, args.limit, mode)
-        browse(found).show(args.limit, truncate=False)
+        if args.out:
+            found.write.mode("overwrite").parquet(args.out)
+        else:
+            browse(found).show(args.limit, truncate=False)
 
 
 if __name__ == "__main__":

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,19 +113,19 @@ def sketches(docs: DataFrame, size: int, keep: int, seed: bytes) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int, seed: bytes) -> DataFrame:
-    """``doc_id, set_a, set_b, shingles`` (ascending)."""
+    """``node, shingles`` (ascending) of the rows of ``node, set_a, set_b, text`` whose text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                values, at = shingle_sets(batch.column(1), size, seed)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *_set_hashes(values, at), _list_array(values, at)],
-                    names=["doc_id", "set_a", "set_b", "shingles"],
-                )
+                node, wanted_a, wanted_b, text = batch.columns
+                values, at = shingle_sets(text, size, seed)
+                a, b = _set_hashes(values, at)
+                own = pc.and_(pc.equal(a, wanted_a), pc.equal(b, wanted_b))
+                made = pa.RecordBatch.from_arrays([node, _list_array(values, at)], names=["node", "shingles"])
+                yield made.filter(own)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_a long, set_b long, shingles array<long>")
+    return docs.select("node", "set_a", "set_b", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def estimated(a: Column, b: Column, keep: int) -> Column:
@@ -256,10 +257,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
     wanted = sets.select("node", "doc_id", "set_a", "set_b").join(wanted, "node")
-    # Texts go through the shuffle at any size, so that what a run moves grows as its input does.
-    shingles = full_sets(docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), words, seed)
-    # Rows with the same id may have different sets; each is looked up by its own.
-    shingles = shingles.join(wanted, ["doc_id", "set_a", "set_b"]).select("node", "shingles")
+    # Texts go through the shuffle at any size, so that what a run moves grows as its input does. Rows with the same id
+    # may have different sets; each goes with its own.
+    shingles = full_sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), words, seed)
     shingles = written(shingles.dropDuplicates(["node"]), "shingles")
     for side in ("a", "b"):
         pairs = pairs.join(shingles.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)

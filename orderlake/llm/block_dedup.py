@@ -6,7 +6,7 @@ probed with every rolling window of the same size, in any document. A hit is ext
 over the neighbouring windows that occur in two documents or more to the maximal repeat;
 the windows of ``window`` words inside are then compared by their own 64-bit hash with
 those of all other documents, and a word goes if one of them starts in a document with
-a smaller id too. Hashes travel between chunks of documents and buckets of keys
+a smaller id too. The hash functions are drawn for each run (``arrow_text.Keys``). Hashes travel between chunks of documents and buckets of keys
 (``exchange``); texts are dealt to chunks once and never meet each other.
 
 A document that equals a smaller one word for word goes as a whole and is not compared.

@@ -19,7 +19,7 @@ they stand. Neighbouring windows with the same sample form one segment.
 
 Chunks of documents and buckets of samples exchange messages (``exchange``); each
 different segment of the last step is sent once. A document that equals a smaller one
-byte for byte goes as a whole.
+byte for byte goes as a whole. The hash functions are drawn for each run (``arrow_text.Keys``).
 
 Null and empty texts have no bytes. A null id counts as greater than all others; rows
 with the same id count as one document and take nothing from each other. An empty table

@@ -421,3 +421,10 @@ ORACLES = {
       count(*) filter (length(regexp_replace(Shipping_Zip, '[^0-9]', '', 'g')) = 4) as four_digit_zips
       from names""",
 }
+
+# The same figures from tables that were brought up to date.
+ORACLES |= {
+    "refresh_kpis": ORACLES["kpis"],
+    "refresh_customer_value": ORACLES["customer_value"],
+    "refresh_summary": ORACLES["summary_stats"],
+}

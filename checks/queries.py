@@ -21,7 +21,7 @@ from orderlake.operators import filters, mutate, orders, projection, search, typ
 from orderlake.operators.search_index import SearchIndex
 from orderlake.plans import anonymize as anon
 from orderlake.plans import audit as audits
-from orderlake.plans import extract, reports
+from orderlake.plans import extract, refresh, reports
 from orderlake.schema import EXTRACTED_COLUMNS, INGEST_KEY, MONEY_COLUMNS, ORDER_LINE_COLUMNS
 from orderlake.sources.csv_lines import read_order_lines, write_order_lines
 from orderlake.sources.pages import read_pages
@@ -203,6 +203,27 @@ def order_totals(spark, sf):
     )
 
 
+def _refreshed(spark, sf):
+    """Report tables built from some lines, and brought up to date with the others."""
+    path, lines = scratch_path(spark, "state"), _written(spark, "typed", _silver(spark, sf))
+    # The lines of an order lie in both parts.
+    early = F.pmod(F.xxhash64(INGEST_KEY), F.lit(2)) == 0
+    state = refresh.write_state(refresh.state_of(lines.filter(early)), f"{path}/first")
+    return refresh.refresh(state, lines.filter(~early), f"{path}/second")
+
+
+def refresh_kpis(spark, sf):
+    return refresh.kpis(_refreshed(spark, sf))
+
+
+def refresh_customer_value(spark, sf):
+    return reports.customer_value(_refreshed(spark, sf)["orders"])
+
+
+def refresh_summary(spark, sf):
+    return refresh.summary_stats(_refreshed(spark, sf))
+
+
 # Filters and search
 
 
@@ -563,6 +584,9 @@ QUERIES = {
     "summary_top_products": summary_top_products,
     "summary_sources": summary_sources,
     "order_totals": order_totals,
+    "refresh_kpis": refresh_kpis,
+    "refresh_customer_value": refresh_customer_value,
+    "refresh_summary": refresh_summary,
     "filter_equality": filter_equality,
     "search_exact_order": search_exact_order,
     "search_email": search_email,

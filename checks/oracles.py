@@ -397,7 +397,6 @@ ORACLES = {
     "stream_extract": _RECORDS,
     "run_extraction": _RECORDS,
     "stream_restart": _RECORDS,
-    "stream_retry": _RECORDS,
     "store_reload": f"with {_raw()} select * exclude (Ingest_Key) from ({_stored()})",
     "import_counters": f"""with {_raw()}, {_NAMES},
       counts as (select count(*) as n, count(*) filter (Shipping_State <= 'IL') as early from raw)

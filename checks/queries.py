@@ -27,7 +27,6 @@ from orderlake.sources.csv_lines import read_order_lines, write_order_lines
 from orderlake.sources.pages import read_pages
 from orderlake.sources.record_store import RecordStore, to_records
 from orderlake.streaming.ingest import read_log, stream_extraction
-from orderlake.streaming.keyed import finish, stream_extraction_by_page
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
@@ -481,22 +480,6 @@ def stream_restart(spark, sf):
     return extract.records_of(read_log(spark, f"{base}/log")).drop("line_no")
 
 
-def stream_retry(spark, sf):
-    """A third of the pages at a time, texts unreadable at first: one log, by page, with the failed ones read again."""
-    def down(_client, _page):
-        raise RuntimeError("no service")
-
-    base = scratch_path(spark, "retry")
-    third = F.pmod(F.xxhash64("path", "page_index"), F.lit(3))
-    pages = fx.page_table(spark, sf)
-    for n, reader in enumerate((replace(SLIP_READER, read_text=down), SLIP_READER, SLIP_READER)):
-        pages.filter(third == n).write.mode("append").parquet(f"{base}/pages")
-        finish(stream_extraction_by_page(
-            spark, f"{base}/pages", f"{base}/log", f"{base}/checkpoint", reader, delay_seconds=1.0,
-        ), idle_seconds=1.5)
-    return extract.records_of(read_log(spark, f"{base}/log")).drop("line_no")
-
-
 def page_source(spark, sf):
     """Pages written as a table and read back through the range filter."""
     path = scratch_path(spark, "pages")
@@ -619,7 +602,6 @@ QUERIES = {
     "stream_extract": stream_extract,
     "run_extraction": run_extraction,
     "stream_restart": stream_restart,
-    "stream_retry": stream_retry,
     "anonymize_rules": anonymize_rules,
     "anonymize_audit": anonymize_audit,
     "anonymize_job": anonymize_job,

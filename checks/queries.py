@@ -514,7 +514,7 @@ def anonymize_audit(spark, sf):
     anon.draw_identities(lines).write.parquet(f"{path}/identities")
     identities = spark.read.parquet(f"{path}/identities")
     anon.apply_identities(lines, identities, SCRUB).write.parquet(f"{path}/lines")
-    return audits.audit(lines, spark.read.parquet(f"{path}/lines"), identities, SCRUB)
+    return audits.audit(lines, spark.read.parquet(f"{path}/lines"), identities, SCRUB, path=f"{path}/groups")
 
 
 def anonymize_job(spark, sf):

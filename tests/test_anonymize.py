@@ -110,6 +110,44 @@ def test_audit_finds_faults(spark):
     assert "lines_and_orders_kept" in failed(good.limit(1))
 
 
+def test_audit_reads_each_table_twice(spark, folder):
+    df = lines(spark, [("1", "Ann", "a@x.y", "1 Way", "", "97214"), ("1", "ANN ", "b@x.y", "", "", "1"), ("", "", "", "", "", "")])
+    df.write.parquet(f"{folder}/before")
+    before = spark.read.parquet(f"{folder}/before")
+    anon.draw_identities(before).write.parquet(f"{folder}/ids")
+    ids = spark.read.parquet(f"{folder}/ids")
+    anon.apply_identities(before, ids).write.parquet(f"{folder}/after")
+    after = spark.read.parquet(f"{folder}/after")
+
+    def reads(frame):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        return len(re.findall(r"Relation \[[^\]]*Unit_Price", plan))
+
+    assert reads(audit.line_groups(before, after)) == 2
+    report = audit.audit(before, after, ids, path=f"{folder}/groups")
+    assert reads(report) == 2
+    got = {r["check"]: (r["checked"], r["passed"]) for r in report.collect()}
+    assert got == {
+        "customers_kept": (2, True), "lines_and_orders_kept": (3, True), "identity_one_to_one": (2, True),
+        "emails_unique": (2, True), "no_real_name_left": (1, True), "no_real_email_left": (2, True),
+        "zip_area_only": (3, True), "line2_blank": (3, True), "other_columns_kept": (3, True),
+        "first_lines_kept": (1, True),
+    }
+
+
+def test_audit_of_empty_tables(spark):
+    df = lines(spark, [("1", "Ann", "a@x.y", "1 Way", "", "97214")])
+    ids = anon.draw_identities(df)
+    none = df.limit(0)
+    empty = {r["check"]: (r["checked"], r["passed"]) for r in audit.audit(none, none, ids.limit(0)).collect()}
+    assert len(empty) == 10 and all(passed for _, passed in empty.values())
+    assert {n or 0 for n, _ in empty.values()} == {0}
+    lost = {r["check"] for r in audit.audit(df, none, ids).collect() if not r["passed"]}
+    assert lost == {"customers_kept", "lines_and_orders_kept", "other_columns_kept", "first_lines_kept"}
+    added = {r["check"] for r in audit.audit(none, df, ids.limit(0)).collect() if not r["passed"]}
+    assert {"other_columns_kept", "zip_area_only", "first_lines_kept"} <= added
+
+
 names = st.text(alphabet="aAbB \té", max_size=4)
 rows = st.lists(
     st.tuples(st.sampled_from(["1", "2", "", "3.0"]), names, st.sampled_from(["", " ", "a@b.c"]),

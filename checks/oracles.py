@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import BATCH_TEXTS, INDEXED, SEARCH_LIMIT, SEARCHES
+from checks.queries import BATCH_TEXTS, INDEXED, MANY_SCRUBBED, SEARCH_LIMIT, SEARCHES
 from orderlake.fixtures import (
     BROKEN_LINE_SQL,
     EMPTY_ARRAY,
@@ -275,6 +275,13 @@ ORACLES = {
       substr(regexp_replace(Shipping_Zip, '[^0-9]', '', 'g'), 1, 3) as zip_area from raw""",
     "token_scrub": f"""with {_raw()} select Ingest_Key,
       {', '.join(f"{_scrubbed(c)} as {c}" for c in ORDER_LINE_COLUMNS)} from raw""",
+    "token_scrub_many": f"""with {_raw()}, words as (
+        select p_name as token from part union select unnest(string_split(p_name, ' ')) from part
+        union select p_brand from part union select c_mktsegment from customer union select n_name from nation),
+      tokens as (select list(token order by token) as ts from words)
+      select Ingest_Key, {', '.join(
+          f"list_reduce(ts, lambda x, y: replace(x, y, 'sample-scan'), {c}) as {c}" for c in MANY_SCRUBBED)}
+      from raw, tokens""",
     "customer_key": f"""with {_NAMES} select {_KEY} as cust_key, count(*) as lines,
       arg_min(Customer_Name, Ingest_Key) as first_spelling from names group by 1""",
     "category": f"with {_SILVER} select Ingest_Key, Product_Code, Category from silver",

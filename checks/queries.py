@@ -40,6 +40,7 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
 
 SCRUB = ["ACME", "BUILDING"]
+MANY_SCRUBBED = ["Customer_Name", "Email", "Product_Code", "Product_Description", "Shipping_City", "Shipping_State"]
 SEARCHES = ["12", "ring", "customer.000000007@example.com", "city 1[0-9]"]
 SEARCH_LIMIT = 100
 INDEXED = [("Ring|CITY 2", "regex"), ("City 1", "literal"), ("al", "literal"), (r"customer[.#]0+7@.*\.com", "regex"), (r"^[a-z]{2}$", "regex")]
@@ -124,6 +125,21 @@ def token_scrub(spark, sf):
     return typed.scrub_tokens(fx.order_lines_raw(spark, sf), SCRUB)
 
 
+def token_scrub_many(spark, sf):
+    """The names, words and brands of products, market segments and nations as tokens: lists that do not grow."""
+    part = fx.table(spark, sf, "part")
+    words = [
+        part.select(F.col("p_name").alias("token")),
+        part.select(F.explode(F.split("p_name", " ")).alias("token")),
+        part.select("p_brand"),
+        fx.table(spark, sf, "customer").select("c_mktsegment"),
+        fx.table(spark, sf, "nation").select("n_name"),
+    ]
+    tokens = sorted(row["token"] for row in reduce(DataFrame.union, words).distinct().collect())
+    lines = fx.order_lines_raw(spark, sf).select(INGEST_KEY, *MANY_SCRUBBED)
+    return typed.scrub_tokens(lines, tokens)
+
+
 def customer_key(spark, sf):
     name = F.col("Customer_Name")
     return fx.raw_names(spark, sf).groupBy(anon.customer_key(name).alias("cust_key")).agg(
@@ -551,6 +567,7 @@ QUERIES = {
     "reclean_count": reclean_count,
     "zip_prefix": zip_area,
     "token_scrub": token_scrub,
+    "token_scrub_many": token_scrub_many,
     "customer_key": customer_key,
     "category": category,
     "canonical_products": canonical_products,

@@ -1,6 +1,6 @@
 """Jobs for spark-submit.
 
-    anonymize IN.csv OUT_DIR PRIVATE_DIR [--scrub TOKENS]
+    anonymize IN.csv OUT_DIR PRIVATE_DIR [--scrub TOKENS] [--scrub-file FILE]
     build     IN.csv STORE
     extract   PAGES LOG READER [--parallelism N] [--images PATTERN]
     export    STORE OUT_DIR
@@ -48,6 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     job.add_argument("public")
     job.add_argument("private")
     job.add_argument("--scrub", default="")
+    job.add_argument("--scrub-file", help="further tokens, one a line")
     job = jobs.add_parser("build")
     job.add_argument("source")
     job.add_argument("store")
@@ -76,7 +77,11 @@ def main(argv: list[str] | None = None) -> None:
     ship(spark)
     if args.job == "anonymize":
         lines = read_order_lines(spark, args.source)
-        print(anonymize(lines, args.public, args.private, split_tokens(args.scrub)))
+        tokens = split_tokens(args.scrub)
+        if args.scrub_file:
+            # A list of settings, as the argument is.
+            tokens += [t for row in spark.read.text(args.scrub_file).collect() if (t := row["value"].strip())]
+        print(anonymize(lines, args.public, args.private, tokens))
     elif args.job == "build":
         print("records:", RecordStore(spark, args.store).rebuild(read_order_lines(spark, args.source)))
     elif args.job == "extract":

@@ -14,6 +14,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# Fixed value: what stands in place of a scrubbed token.
+SCRUBBED = "sample-scan"
 # The same set as a regular-expression class.
 SPACE_CLASS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 NON_SPACE_CLASS = r"[^\t-\r\x1c-\x1f\x85\p{Z}]"
@@ -46,7 +48,7 @@ def zip_prefix(c: Column) -> Column:
     return F.substring(F.regexp_replace(blank_if_null(c), "[^0-9]", ""), 1, 3)
 
 
-def scrub(c: Column, tokens: Iterable[str], replacement: str = "sample-scan") -> Column:
+def scrub(c: Column, tokens: Iterable[str], replacement: str = SCRUBBED) -> Column:
     """Replace each token, literally and in order."""
     return reduce(lambda acc, token: F.replace(acc, F.lit(token), F.lit(replacement)), tokens, c)
 

@@ -14,10 +14,14 @@ from orderlake.functions.products import (
     canonical_description,
     category_of,
 )
-from orderlake.functions.text import scrub
+from orderlake.functions.text import SCRUBBED, scrub
 from orderlake.functions.values import clean_order_number, to_date, to_money, to_number
+from orderlake.operators.scrub import scrub_many
 from orderlake.schema import MONEY_COLUMNS, ORDER_LINE_COLUMNS
 
+#: Tokens that may be an expression each in the plan.
+MAX_EXPRESSIONS = 16
+
 
 def standardize_products(lines: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Replace code and description by the canonical ones."""
@@ -27,12 +31,18 @@ def standardize_products(lines: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -
     )
 
 
-def scrub_tokens(lines: DataFrame, tokens: Sequence[str]) -> DataFrame:
-    """Replace organisation tokens in every public text column."""
+def scrub_tokens(lines: DataFrame, tokens: Sequence[str], replacement: str = SCRUBBED) -> DataFrame:
+    """Replace organisation tokens in every public text column, literally and in order.
+
+    More than ``MAX_EXPRESSIONS`` tokens go through an automaton instead of an
+    expression each, with the same outcome.
+    """
     if not tokens:
         return lines
     text = [n for n, kind in lines.dtypes if kind == "string" and n in ORDER_LINE_COLUMNS]
-    return lines.withColumns({n: scrub(F.col(n), tokens) for n in text})
+    if len(tokens) > MAX_EXPRESSIONS:
+        return scrub_many(lines, text, tokens, replacement)
+    return lines.withColumns({n: scrub(F.col(n), tokens, replacement) for n in text})
 
 
 def typed_lines(

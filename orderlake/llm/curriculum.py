@@ -114,7 +114,9 @@ def _copy(epoch: int) -> Column:
 
 
 def plan_columns(docs: DataFrame, **mix) -> DataFrame:
-    return curriculum_plan(docs, **mix).drop(*_OWN)
+    """The plan range-sorted by the position of the first copy; documents of which nothing is taken come last."""
+    plan = curriculum_plan(docs, **mix)
+    return plan.orderBy(F.col("position").asc_nulls_last(), "_hash", "doc_id").drop(*_OWN)
 
 
 def mixed_documents(docs: DataFrame, **mix) -> DataFrame:

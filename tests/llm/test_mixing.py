@@ -51,6 +51,19 @@ def test_targets_are_met(odd):
     assert max(open_) == pytest.approx(min(open_))
 
 
+def test_plan_is_in_training_order(spark, odd, tmp_path):
+    plan = plan_columns(odd)
+    places = [r.position for r in plan.collect()]
+    taken = [p for p in places if p is not None]
+    assert taken == sorted(taken) and places[: len(taken)] == taken and len(taken) < len(places)
+    # Part files hold ranges one after the other, so a reader of them in order trains in order.
+    many = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(4000)], DOCS)
+    plan_columns(many).write.parquet(f"{tmp_path}/plan")
+    parts = sorted((tmp_path / "plan").glob("part-*"))
+    read = [r.position for part in parts for r in spark.read.parquet(str(part)).collect() if r.position is not None]
+    assert read == sorted(read) and len(read) > 2000
+
+
 def test_reruns_agree(odd):
     one, two = (sorted(map(str, plan_columns(d).collect())) for d in (odd, odd.repartition(7)))
     assert one == two

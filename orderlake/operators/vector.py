@@ -19,6 +19,8 @@ QUERY_BLOCK = 1024
 # Rows and queries of a tile.
 TILE_ROWS = 32_768
 TILE_QUERIES = 8_192
+# Rows of either side that a task holds of small tiles.
+BLOCK_ROWS = 32_768
 # Queries scored at a time, to bound the score matrix of a batch.
 SCORE_BLOCK = 256
 
@@ -101,16 +103,52 @@ def _best_of_tile(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, k: int)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _best_of_block(
+    ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, k: int, tile_rows: int, tile_queries: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_best_of_tile`` over the tiles of a block, so that no more than a tile is scored at a time."""
+    found = []
+    for low in range(0, len(asked), tile_queries):
+        tiles = [
+            _best_of_tile(ids[at:at + tile_rows], rows[at:at + tile_rows], asked[low:low + tile_queries], k)
+            for at in range(0, len(ids), tile_rows)
+        ]
+        query, id_, score = (np.concatenate(c) for c in zip(*tiles))
+        order = np.lexsort((id_, -score, query))
+        query, id_, score = query[order], id_[order], score[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        found.append((query[kept] + low, id_[kept], score[kept]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _fewer_blocks(across: int, down: int, tile_queries: int, tile_rows: int, pairs: int) -> tuple[int, int]:
+    """How many blocks tiles are put into, halved while blocks stay within ``BLOCK_ROWS`` and there are ``pairs`` of them."""
+    least = (-(-across * tile_queries // BLOCK_ROWS), -(-down * tile_rows // BLOCK_ROWS))
+    while True:
+        # The side with more blocks sends the other one more often.
+        sides = sorted(((n, i) for i, n in enumerate((across, down)) if -(-n // 2) >= max(1, least[i]) and n > 1), reverse=True)
+        for _, i in sides:
+            fewer = (-(-across // 2), down) if i == 0 else (across, -(-down // 2))
+            if fewer[0] * fewer[1] >= pairs:
+                across, down = fewer
+                break
+        else:
+            return across, down
+
+
 def _tiles(
     vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, tile_rows: int, tile_queries: int
 ) -> DataFrame:
-    """The best k of every tile: blocks of vectors meet blocks of queries through a shuffle.
+    """The best k of every group of tiles: blocks of vectors meet blocks of queries through a shuffle.
 
-    A vector is sent once a block of queries and a query once a block of vectors, so neither the driver nor a
-    task holds more than a tile, and the plan is the same for any number of either.
+    A vector is sent once a block of queries and a query once a block of vectors, so blocks hold several tiles, up
+    to ``BLOCK_ROWS`` of either side, as long as every partition of a shuffle has a pair of blocks. Scores are made tile by
+    tile. So neither the driver nor a task holds more than two blocks, and the plan is the same for any number of either.
     """
     across = max(1, -(-queries.count() // tile_queries))
     down = max(1, -(-vectors.count() // tile_rows))
+    pairs = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across, down = _fewer_blocks(across, down, tile_queries, tile_rows, pairs)
     block = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
@@ -127,7 +165,7 @@ def _tiles(
             return pa.table(empty, names=["query_id", id_col, "score"])
         if directions.shape[1] != unit.shape[1]:
             raise ValueError("vectors and queries differ in length")
-        query, found, score = _best_of_tile(ids, directions, unit, k)
+        query, found, score = _best_of_block(ids, directions, unit, k, tile_rows, tile_queries)
         return pa.table([query_ids[query], found, score], names=["query_id", id_col, "score"])
 
     dealt = ["down", "across"]

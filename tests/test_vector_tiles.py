@@ -79,3 +79,20 @@ def test_odd_queries_are_refused(spark, data):
     for bad in (zero, short):
         with pytest.raises(Exception, match="length"):
             vector.vector_tiles(vectors, asked.union(bad), 2).collect()
+
+
+def test_blocks_hold_several_tiles():
+    # 64,000 rows in tiles of 2,000 and 500: each row was sent 128 times, each query 32 times.
+    across, down = vector._fewer_blocks(128, 32, 500, 2_000, 48)
+    assert 48 <= across * down < 128 and across <= 16
+    # Blocks stop growing at BLOCK_ROWS, and a pair of blocks stays for every partition.
+    across, down = vector._fewer_blocks(12_800, 3_200, 500, 2_000, 48)
+    assert 64e5 / across <= vector.BLOCK_ROWS and 64e5 / down <= vector.BLOCK_ROWS and across + down < 800
+    assert vector._fewer_blocks(3, 2, 500, 2_000, 200) == (3, 2) and vector._fewer_blocks(1, 1, 500, 2_000, 1) == (1, 1)
+
+
+def test_a_block_is_scored_tile_by_tile():
+    rng = np.random.default_rng(1)
+    ids, rows, asked = rng.permutation(70), rng.integers(-2, 3, (70, 3)) + 0.5, rng.integers(-2, 3, (9, 3)) + 0.5
+    whole, tiled = vector._best_of_tile(ids, rows, asked, 4), vector._best_of_block(ids, rows, asked, 4, 20, 2)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, tiled))

@@ -166,3 +166,18 @@ def test_invariants(spark, data):
     report = {r["check"]: r["passed"] for r in audit.audit(df, after, ids).collect()}
     # A short invented name may equal a real one only by chance, never here.
     assert all(report.values()), report
+
+
+def test_lines_meet_identities_without_what_these_replace(spark):
+    rows = [("1", "Ann", " ", "\t", "x", "12345-6"), ("2", "Ann", "a@b", "1 St", "", ""), ("3", "", "", "", "", "9")]
+    given = lines(spark, rows)
+    identities = spark.createDataFrame([("ann", "N", "m@x", "9 Rd"), ("", "O", "o@x", "8 Rd")], "cust_key string, fake_name string, fake_email string, fake_line1 string")
+    out = anon.apply_identities(given, identities)
+    shown = ["Customer_Name", "Email", "Shipping_Address_Line1", "Shipping_Address_Line2", "Shipping_Zip"]
+    assert [tuple(r[c] for c in shown) for r in out.orderBy(INGEST_KEY).collect()] == [
+        ("N", " ", "\t", "", "123"), ("N", "m@x", "9 Rd", "", ""), ("O", "", "", "", "9")
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # The join's left side has the area code already; names and addresses end below it.
+    below = plan[plan.index("Join"):]
+    assert "[^0-9]" in below and "CASE WHEN" in below

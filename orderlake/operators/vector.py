@@ -16,11 +16,9 @@ from orderlake.operators.topk import top_n_per_group
 
 # Up to so many queries go to the tasks as they are; more meet the vectors in tiles.
 QUERY_BLOCK = 1024
-# Rows and queries of a tile.
+# Rows and queries of a tile, and of a block of smaller tiles at most.
 TILE_ROWS = 32_768
 TILE_QUERIES = 8_192
-# Rows of either side that a task holds of small tiles.
-BLOCK_ROWS = 32_768
 # Queries scored at a time, to bound the score matrix of a batch.
 SCORE_BLOCK = 256
 
@@ -122,8 +120,8 @@ def _best_of_block(
 
 
 def _fewer_blocks(across: int, down: int, tile_queries: int, tile_rows: int, pairs: int) -> tuple[int, int]:
-    """How many blocks tiles are put into, halved while blocks stay within ``BLOCK_ROWS`` and there are ``pairs`` of them."""
-    least = (-(-across * tile_queries // BLOCK_ROWS), -(-down * tile_rows // BLOCK_ROWS))
+    """How many blocks tiles are put into, halved while blocks stay within the default tiles and there are ``pairs`` of them."""
+    least = (-(-across * tile_queries // TILE_QUERIES), -(-down * tile_rows // TILE_ROWS))
     while True:
         # The side with more blocks sends the other one more often.
         sides = sorted(((n, i) for i, n in enumerate((across, down)) if -(-n // 2) >= max(1, least[i]) and n > 1), reverse=True)
@@ -142,7 +140,7 @@ def _tiles(
     """The best k of every group of tiles: blocks of vectors meet blocks of queries through a shuffle.
 
     A vector is sent once a block of queries and a query once a block of vectors, so blocks hold several tiles, up
-    to ``BLOCK_ROWS`` of either side, as long as every partition of a shuffle has a pair of blocks. Scores are made tile by
+    to ``TILE_ROWS`` and ``TILE_QUERIES``, as long as every partition of a shuffle has a pair of blocks. Scores are made tile by
     tile. So neither the driver nor a task holds more than two blocks, and the plan is the same for any number of either.
     """
     across = max(1, -(-queries.count() // tile_queries))

@@ -85,9 +85,9 @@ def test_blocks_hold_several_tiles():
     # 64,000 rows in tiles of 2,000 and 500: each row was sent 128 times, each query 32 times.
     across, down = vector._fewer_blocks(128, 32, 500, 2_000, 48)
     assert 48 <= across * down < 128 and across <= 16
-    # Blocks stop growing at BLOCK_ROWS, and a pair of blocks stays for every partition.
+    # Blocks stop growing at the default tiles, and a pair of blocks stays for every partition.
     across, down = vector._fewer_blocks(12_800, 3_200, 500, 2_000, 48)
-    assert 64e5 / across <= vector.BLOCK_ROWS and 64e5 / down <= vector.BLOCK_ROWS and across + down < 800
+    assert 64e5 / across <= vector.TILE_QUERIES and 64e5 / down <= vector.TILE_ROWS and across + down <= 1_000
     assert vector._fewer_blocks(3, 2, 500, 2_000, 200) == (3, 2) and vector._fewer_blocks(1, 1, 500, 2_000, 1) == (1, 1)
 
 

@@ -92,3 +92,29 @@ def test_a_hot_customer_is_split_in_the_identity_join(spark, folder):
     finally:
         for key in changed:
             spark.conf.unset(key)
+
+
+def test_orders_and_parts_are_worked_out_before_lines_meet_them(spark, tmp_path):
+    from orderlake import fixtures as fx
+
+    # Both raw forms over rows with nulls, repeated keys and keys without a partner.
+    when = "timestamp '2024-01-31 10:00:00'"
+    spark.sql(f"select * from values (1, 10), (1, 11), (7, 10), (null, 10), (5, null), (9, 99) as t(o_orderkey, o_custkey)").selectExpr(
+        "cast(o_orderkey as bigint) o_orderkey", "cast(o_custkey as bigint) o_custkey", "12.5D o_totalprice",
+        f"if(o_custkey = 11, null, {when}) o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select * from values (10, 'Customer#10', 3), (11, null, null), (11, 'B', 4) as t(k, n, nat)").selectExpr(
+        "cast(k as bigint) c_custkey", "n c_name", "nat c_nationkey", "'AUTO' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select * from values (2, 'red ring'), (3, null) as t(k, n)").selectExpr(
+        "cast(k as bigint) p_partkey", "n p_name", "9.5D p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select * from values (1, 2), (1, 3), (7, 2), (7, 2), (null, 2), (5, 2), (1, null), (8, 2) as t(o, p)").selectExpr(
+        "cast(o as bigint) l_orderkey", "cast(p as bigint) l_partkey", "4L l_suppkey", "1 l_linenumber", "2.0D l_quantity",
+        "19.0D l_extendedprice", "0.1D l_discount", f"{when} l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines, orders, customers, parts = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("lineitem", "orders", "customer", "part"))
+    plain = lines.join(orders, F.expr("l_orderkey = o_orderkey")).join(customers, F.expr("o_custkey = c_custkey")).join(
+        parts, F.expr("l_partkey = p_partkey"))
+    for found, names in ((fx.order_lines_raw(spark, str(tmp_path)), {}), (fx.raw_names(spark, str(tmp_path)), {"Customer_Name": fx.UNEVEN_NAME_SQL})):
+        wanted = plain.select(*[F.expr(sql).alias(n) for n, sql in {**fx.ORDER_LINE_SQL, **names}.items()])
+        assert found.schema == wanted.schema
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and wanted.count() == 8
+        last = plan(found).split("Join")[0]
+        assert "o_orderdate" not in last and "c_mktsegment" not in last and "p_retailprice" not in last
